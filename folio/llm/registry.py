@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, packing, quality_rules, token_counts, url_rules
+from folio.llm import decontaminate, minhash, packing, quality_rules, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.clusters(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_rules": op2,
     "op3_quality_rules": op3,
     "op5_token_counts": op5,
+    "op7_minhash": op7,
     "op8_best_fit_packing": op8,
 }
 
