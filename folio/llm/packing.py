@@ -17,7 +17,9 @@ Three steps, none of which gathers documents anywhere:
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -96,31 +98,97 @@ def segments(plan: list[Combination]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def token_bytes(path: str) -> Memo:
-    """Memo from a white-space delimited chunk (UTF-8) to its ids as little-endian unsigned 32-bit integers.
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class WordPieces:
+    """Ids of white-space delimited chunks (UTF-8), as little-endian unsigned 32-bit integers in bytes.
 
     This vocabulary drops white space before splitting into words, so ids of a
-    text are those of its chunks in a row.
+    text are those of its chunks in a row. Chunks of Latin characters are split
+    into words here, by the tokenizer's own pattern, and only words not seen
+    before go to its model; any other chunk (other scripts, controls, special
+    tokens, another kind of tokenizer) goes through the whole tokenizer.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return Memo(lambda chunk: np.array(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        steps = [x["type"] for x in (kind["normalizer"] or {}).get("normalizers", ())]
+        split = next((x for x in (kind["pre_tokenizer"] or {}).get("pretokenizers", ()) if x["type"] == "Split"), {})
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == self.PATTERN and split.get("invert") is True
+        self.special = [x["content"].encode() for x in kind["added_tokens"]]
+        self.find = regex.compile(self.PATTERN).findall
+        self.latin = regex.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        shown = dict(zip(printable, map(chr, printable)))
+        others = (b for b in range(256) if b not in shown)
+        self.shown = shown | {b: chr(256 + i) for i, b in enumerate(others)}  # byte-level BPE's letters for bytes
+        self.points = {bytes((b,)) for b in b".,;:!?"}
+        self.words = Memo(self.word, 400_000)
+        self.chunks = Memo(self.chunk, 400_000)
+
+    def word(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        return packed([t.id for t in self.model.tokenize(letters)])
+
+    def chunk(self, chunk: bytes) -> bytes:
+        if self.known:
+            if chunk.isalpha():  # ASCII letters
+                return packed([t.id for t in self.model.tokenize(chunk.decode().lower())])
+            if chunk[-1:] in self.points and chunk[:-1].isalpha():
+                return self.chunks[chunk[:-1]] + self.words[chunk[-1:].decode()]
+        text = chunk.decode()
+        if self.known and self.latin(text) and not any(x in chunk for x in self.special):
+            text = text.lower() if text.isascii() else "".join(map(str.lower, text))
+            if text.isalpha():
+                return self.word(text)
+            return b"".join(map(self.words.__getitem__, self.find(text)))
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def text(self, text: bytes) -> bytes:
+        """Ids of a whole text; A-Z are lower-cased at once where no special token's sign is about."""
+        if self.known and b"<|" not in text:
+            text = text.lower()
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+_word_pieces: dict[str, WordPieces] = {}
+
+
+def word_pieces(path: str) -> WordPieces:
+    """One a process: later tasks of the same worker go on with its memo."""
+    if path not in _word_pieces:
+        _word_pieces[path] = WordPieces(path)
+    return _word_pieces[path]
 
 
 def cut(path: str, capacity: int, separator: int):
     """The pieces of each partition's texts: ``PIECES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        ids_of = token_bytes(path).__getitem__
+        ids_of = word_pieces(path).text
         end = np.array([separator], "<u4").tobytes()
         part, numbers = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = b"".join(map(ids_of, (text or b"").split())) + end
+                ids = ids_of(text or b"") + end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[start : start + 4 * capacity]
                     length = len(own) // 4
