@@ -11,10 +11,14 @@ In every bucket each member is paired with one center only, the member that
 comes first in one random order of all documents. These stars are confirmed
 on full sets and joined to components. What a star can't see - two members
 that are alike while neither is like the center - is left to buckets whose
-members are still in different components: their members' signatures are
-compared, block against block, and pairs across components that may reach the
-threshold (six standard deviations of the estimate allowed) are confirmed on
-full sets too. So no link is lost for the sake of a bound on pairs.
+members are still in different components: there the members' sets come
+together, block against block, and pairs across components whose sizes and
+signatures allow the threshold (six standard deviations of the estimate) are
+confirmed in place, each in the first bucket that they share; only links leave
+the task. So no link is lost for the sake of a bound on pairs.
+
+Texts are never shuffled: sets are made where the texts lie, for documents that
+a bit map of fixed largest size has marked as wanted.
 
 Everything is keyed by documents or buckets in shuffles that combine before
 they move; tables between steps are written to the shared folder.
@@ -28,14 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folio.llm.shared import Memo, shared_folder, written
+from folio.llm.shared import Memo, bit_map, shared_folder, written
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 BLOCK = 2048
-WORDS = 2_000_000
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,27 +136,34 @@ def sign(size: int, signatures: bool = True):
     return run
 
 
-def sets(size: int):
-    """Per text: its distinct shingle hashes."""
+def shingle_sets(plain: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc, shingles) of at least the wanted documents: the bit map thins the texts where they are; its false hits do no harm."""
+    shared, power = bit_map(wanted, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         hash_of = word_hash().__getitem__
+        bits = shared.value
         for batch in batches:
-            own = [shingle_hashes(np.array([hash_of(w) for w in (text or b"").lower().split()], np.uint64), size).view(np.int64) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            spot = batch.column(2).to_numpy()
+            chosen = np.flatnonzero(bits[spot >> 6] >> (spot & 63) & 1)
+            if not len(chosen):
+                continue
+            texts = batch.column(1).take(pa.array(chosen)).cast(pa.binary()).to_pylist()
+            own = [shingle_hashes(np.array([hash_of(w) for w in (text or b"").lower().split()], np.uint64), size).view(np.int64) for text in texts]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-            values = np.concatenate(own) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chosen)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["doc", "shingles"])
 
-    return run
+    spots = plain.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << power)).alias("spot"))
+    return spots.mapInArrow(run, "doc long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, plain: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; only texts in some pair are read into sets."""
+def confirmed(pairs: DataFrame, plain: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = plain.join(wanted, plain["doc_id"] == wanted["doc"], "left_semi")
-    full = texts.mapInArrow(sets(size), "doc long, shingles array<long>")
-    left = pairs.join(full.select(F.col("doc").alias("b"), F.col("shingles").alias("s")), "b")
-    both = left.join(full.select(F.col("doc").alias("a"), F.col("shingles").alias("t")), "a")
+    full = written(shingle_sets(plain, written(wanted, folder, "wanted"), size), folder, "sets")
+    # merge joins whatever the size: a broadcast of the pairs would only fit while they are few
+    left = pairs.hint("merge").join(full.select(F.col("doc").alias("b"), F.col("shingles").alias("s")), "b")
+    both = left.hint("merge").join(full.select(F.col("doc").alias("a"), F.col("shingles").alias("t")), "a")
     common = F.size(F.array_intersect("s", "t"))
     union = F.size("s") + F.size("t") - common
     return both.where(100 * common.cast("long") >= percent * union.cast("long")).select("a", "b").distinct()
@@ -182,27 +191,52 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         last = state
 
 
-def candidates_of_bucket(percent: int):
-    """Pairs of one bucket's blocks across components whose signatures may reach the threshold."""
+def links_of_bucket(percent: int):
+    """Confirmed links of one bucket's blocks across components, of pairs that share no earlier band."""
 
     def run(table: pa.Table) -> pa.Table:
         docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "component", "block", "n_shingles"))
         matrix = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, BINS)
-        low = table.column("low").to_numpy()[0]
+        full = table.column("shingles").to_pylist()
+        sets = [np.array(x, np.int64) for x in full]
+        del full
+        band, low = table.column("band").to_numpy()[0], table.column("low").to_numpy()[0]
         left = np.flatnonzero(side == low)
         right = np.flatnonzero(side != low) if (side != low).any() else left
         p = percent / 100
         occupied = BINS * (1 - np.exp(-n / BINS))
-        out: list[tuple] = []
+        parent = {c: c for c in comps.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out: list[tuple[int, int]] = []
         for start in range(0, len(left), 128):
             some = left[start : start + 128]
-            alike = (matrix[some, None, :] == matrix[None, right, :]).sum(axis=2)
-            least = np.minimum(occupied[some][:, None], occupied[right][None, :])
-            may = alike >= BINS * (p - 6 * np.sqrt(p * (1 - p) / np.maximum(least, 1)) - 1 / np.maximum(least, 1))
-            may &= comps[some][:, None] != comps[right][None, :]
+            x, y = n[some][:, None], n[right][None, :]
+            may = (comps[some][:, None] != comps[right][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            may &= (some[:, None] < right[None, :]) if right is left else True
             i, j = np.nonzero(may)
-            out += [(min(a, b), max(a, b)) for a, b in zip(docs[some[i]].tolist(), docs[right[j]].tolist())]
-        out = sorted(set(out))
+            for part in range(0, len(i), 1 << 18):
+                u, v = some[i[part : part + (1 << 18)]], right[j[part : part + (1 << 18)]]
+                equal = matrix[u] == matrix[v]
+                least = np.minimum(occupied[u], occupied[v])
+                fine = equal.sum(axis=1) >= BINS * (p - 6 * np.sqrt(p * (1 - p) / least) - 1 / least)
+                if band:
+                    fine &= ~equal[:, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+                for k, m in zip(u[fine].tolist(), v[fine].tolist()):
+                    c, d = root(int(comps[k])), root(int(comps[m]))
+                    if c == d:
+                        continue
+                    s, t = sets[k], sets[m]
+                    at = np.searchsorted(s, t)
+                    common = int((s[np.minimum(at, len(s) - 1)] == t).sum())
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        parent[c] = d
+                        out.append((int(docs[k]), int(docs[m])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
@@ -229,25 +263,26 @@ def clusters(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> D
 def labelled(signed: DataFrame, plain: DataFrame, folder: str, size: int, percent: int) -> DataFrame:
     known = signed.where("doc_id is not null and n_shingles > 0")
     classes = written(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "bands", "signature")).alias("own")), folder, "classes")
-    bands = classes.select("doc", F.explode("own.bands").alias("bucket"))
-    order = F.struct(F.xxhash64("doc").alias("o"), F.col("doc").alias("d"))
-    buckets = written(bands.groupBy("bucket").agg(F.min(order)["d"].alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), folder, "buckets")
+    bands = classes.select("doc", "n_shingles", F.posexplode("own.bands").alias("band", "bucket"))
+    order = F.min(F.struct(F.xxhash64("doc").alias("o"), "doc", "n_shingles"))
+    buckets = written(bands.groupBy("bucket").agg(order.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "n", F.col("c.doc").alias("center"), F.col("c.n_shingles").alias("center_size")), folder, "buckets")
     members = written(bands.join(buckets, "bucket"), folder, "members")
-    stars = members.where("doc <> center").select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct()
-    links = written(confirmed(written(stars, folder, "stars"), plain, size, percent), folder, "links")
+    sized = F.expr(f"100 * least(n_shingles, center_size) >= {percent} * greatest(n_shingles, center_size)")
+    stars = members.where((F.col("doc") != F.col("center")) & sized).select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct()
+    links = written(confirmed(written(stars, folder, "stars"), plain, size, percent, folder), folder, "links")
     # rows of one doc_id but different sets are one node, and so are rows of one set
     same = known.join(classes.where("rows > 1").select("f1", "f2", "doc"), ["f1", "f2"]).where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     linked = components(links, folder, "star-components")
     left = members.where("n > 2").join(linked, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    inside = written(left.join(open_, "bucket").select("bucket", "band", "n", "doc", "component", "n_shingles"), folder, "open")
+    wanted = written(inside.select("doc").distinct(), folder, "open-docs")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    inside = left.join(open_, "bucket").join(classes.select("doc", "n_shingles", F.col("own.signature").alias("signature")), "doc")
+    full = shingle_sets(plain, wanted, size).join(classes.select("doc", F.col("own.signature").alias("signature")), "doc")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    inside = inside.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n_shingles", "signature")
-    more = inside.groupBy("bucket", "low", "high").applyInArrow(candidates_of_bucket(percent), "a long, b long").distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), folder, "more")
-    links = links.union(confirmed(more, plain, size, percent)) if not more.isEmpty() else links
-    final = components(links.union(same), folder, "components")
+    inside = inside.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n_shingles").join(full, "doc")
+    more = inside.groupBy("bucket", "low", "high").applyInArrow(links_of_bucket(percent), "a long, b long")
+    final = components(links.union(written(more, folder, "more")).union(same), folder, "components")
     rows = signed.select("doc_id", "n_shingles").join(final, signed["doc_id"] == final["doc"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -8,7 +8,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +52,26 @@ class Memo(dict):
         return value
 
 
+#: 16 MB: the largest bit map that is broadcast, whatever it marks.
+MAX_BITS = 1 << 27
+
+
+def bit_map(wanted: DataFrame, column: str) -> tuple[Broadcast, int]:
+    """A broadcast bit map (64 bits an integer) of ``xxhash64(column)`` and the logarithm of its size.
+
+    About 16 bits for each row, at most ``MAX_BITS``: it thins tables where
+    they lie; hits may be false, and are more often so once it is full. The
+    driver sees the map's integers, no rows.
+    """
+    power = min(MAX_BITS.bit_length() - 1, max(10, int(16 * wanted.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(column), F.lit(1 << power))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int"))
+    words = wanted.select(F.shiftright(spot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (power - 6), np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return wanted.sparkSession.sparkContext.broadcast(bits), power
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer's file; operators take any other path as a parameter."""
     import public_tokenizers
