@@ -26,11 +26,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.shared import shared_folder, written
+from folio.llm.shared import bit_map, shared_folder, written
 
 MIN_WORDS = 50
 LINES = "doc_id long, doc_hash long, line int, h1 long, h2 long, ahead int, behind int"
@@ -58,12 +59,6 @@ def content_lines(text: bytes | None) -> tuple[list[bytes], list[int]]:
     return lines, places
 
 
-def doc_hash(doc_id: int | None, text: bytes | None) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text or b"", seed=0 if doc_id is None else doc_id & (1 << 63) - 1)).view(np.int64))
-
-
 def scan(least: int):
     """Lines of each text: ids (two hashes) and the shortest runs that may be repeated text."""
 
@@ -73,7 +68,7 @@ def scan(least: int):
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids, docs, numbers, hashes, ahead, behind = [], [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            for doc_id, text, doc in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 lines, _ = content_lines(text)
                 if not lines:
                     continue
@@ -81,7 +76,7 @@ def scan(least: int):
                 if not a.any():
                     continue  # no run of this text is long enough
                 ids += [doc_id] * len(lines)
-                docs += [doc_hash(doc_id, text)] * len(lines)
+                docs += [doc] * len(lines)
                 numbers.append(np.arange(len(lines), dtype=np.int32))
                 hashes += map(digest, lines)
                 ahead.append(a)
@@ -120,6 +115,7 @@ def levels(lines: DataFrame, depth: int, folder: str) -> list[DataFrame]:
 def later_runs(docs: DataFrame, min_words: int, folder: str) -> DataFrame:
     """(doc_id, doc_hash, runs) where runs are the (first line, lines) that are later copies of repeated text."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = plain.withColumn("doc_hash", F.xxhash64("doc_id", "text"))
     lines = written(plain.mapInArrow(scan(min_words), LINES), folder, "lines")
     depth = int(min_words + 1).bit_length() - 1
     ranks = levels(lines.select(*KEY, "line", "h1", "h2"), depth, folder)
@@ -162,15 +158,19 @@ def with_runs(docs: DataFrame, min_words: int) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
     later = written(later_runs(docs, min_words, folder), folder, "later")
 
-    @F.pandas_udf("long")
-    def hashed(ids, texts):
-        import pandas as pd
+    shared, power = bit_map(later, "doc_hash")
 
-        return pd.Series([doc_hash(None if i != i or i is None else int(i), None if t is None else t.encode()) for i, t in zip(ids, texts)])
+    @F.pandas_udf("boolean")
+    def marked(spots: pd.Series) -> pd.Series:
+        bits, at = shared.value, spots.to_numpy()
+        return pd.Series((bits[at >> 6] >> (at & 63) & 1).astype(bool))
 
-    own = later.select(F.col("doc_id").alias("__folio_id"), F.col("doc_hash").alias("__folio_own"), F.col("runs").alias(RUNS))
-    key = docs.withColumn(HASH, hashed(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return key.join(own, key["doc_id"].cast("long").eqNullSafe(own["__folio_id"]) & (key[HASH] == own["__folio_own"]), "left").drop("__folio_id", "__folio_own", HASH)
+    own = later.select(F.col("doc_id").alias("__folio_id"), F.col("doc_hash").alias("__folio_own"), F.col("runs").alias(RUNS)).hint("merge")
+    key = docs.withColumn(HASH, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    mark = marked(F.pmod(F.xxhash64(HASH), F.lit(1 << power)))
+    # only texts that the bit map marks are shuffled to meet their runs
+    hit = key.where(mark).join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("__folio_id")) & (F.col(HASH) == F.col("__folio_own")), "left").drop("__folio_id", "__folio_own")
+    return hit.unionByName(key.where(~mark).withColumn(RUNS, F.lit(None).cast(own.schema[RUNS].dataType))).drop(HASH)
 
 
 def cut_batches(position: int, extra: bool, counts: int | None):
