@@ -5,6 +5,421 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions import classify, noise, pii, tables, text
+from folio.operators import layout, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PUBLISHED = "2024-01-01 08:00+08:00"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL where there is one."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- text: noise, personal data, classes --------------------------------------------------
+
+#: A derived text with links, blank lines and a notice (first in every third document), the same on both sides.
+NOTICE = "依金融監督管理委員會保險局規定辦理"
+
+
+def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "url")
+    n = pages.count()
+    body = F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n\n\n")), F.lit("\n\n"), F.coalesce("url", F.lit("")), F.lit("\n"))
+    joined = docs.withColumn("page_id", F.pmod("doc_id", F.lit(n))).join(pages, "page_id", "left")
+    notice = F.lit(f"{NOTICE}\nend of notice\n\n")
+    return joined.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(notice, body)).otherwise(F.concat(body, notice)).alias("aug"))
+
+
+AUG_SQL = f"""
+aug AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN notice || body ELSE body || notice END AS aug FROM (
+    SELECT doc_id, '{NOTICE}' || chr(10) || 'end of notice' || chr(10) || chr(10) AS notice,
+      replace(text, chr(10), repeat(chr(10), 4)) || chr(10) || chr(10) || coalesce(url, '') || chr(10) AS body
+    FROM documents LEFT JOIN pages ON doc_id % (SELECT count(*) FROM pages) = page_id))"""
+
+
+@query(rf"""
+WITH {AUG_SQL}
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(aug, '(?:https?://|mma\.tw/)\S+', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM aug""")
+def noise_url_squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmented(spark, sf_dir).select("doc_id", text.squeeze_blank_lines(text.strip_urls(F.col("aug"))).alias("cleaned"))
+
+
+@query(rf"""
+WITH {AUG_SQL}
+SELECT doc_id, regexp_replace(aug, 'end of notice(?:[^\n]|\n[^\n])*', '', 'g') AS stripped FROM aug""")
+def noise_inline_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmented(spark, sf_dir).select("doc_id", noise.strip_paragraphs(F.col("aug"), ["end of notice"]).alias("stripped"))
+
+
+@query(rf"""
+WITH {AUG_SQL},
+cut AS (SELECT doc_id, aug, regexp_replace(regexp_split_to_array(aug, '依金融監督管理委員會保險局')[1], '\s+$', '') AS kept FROM aug)
+SELECT doc_id, CASE WHEN contains(aug, '依金融監督管理委員會保險局') AND length(kept) / greatest(length(aug), 1) >= 0.3 THEN kept ELSE aug END AS truncated FROM cut""")
+def noise_tail_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmented(spark, sf_dir).select("doc_id", noise.truncate_tail(F.col("aug")).alias("truncated"))
+
+
+@query(rf"""
+WITH {AUG_SQL},
+s AS (SELECT doc_id, regexp_replace(aug, 'end of notice(?:[^\n]|\n[^\n])*', '', 'g') AS t FROM aug),
+cut AS (SELECT doc_id, t, regexp_replace(regexp_split_to_array(t, '依金融監督管理委員會保險局')[1], '\s+$', '') AS kept FROM s),
+r AS (SELECT doc_id, CASE WHEN contains(t, '依金融監督管理委員會保險局') AND length(kept) / greatest(length(t), 1) >= 0.3 THEN kept ELSE t END AS t FROM cut)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?:https?://|mma\.tw/)\S+', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM r""")
+def noise_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmented(spark, sf_dir).select("doc_id", noise.clean_text(F.col("aug"), paragraphs=["end of notice"]).alias("cleaned"))
+
+
+CARD, NATIONAL, MOBILE, LANDLINE = r"\b(\d{4})[\s-]?\d{4}[\s-]?\d{4}[\s-]?(\d{4})\b", r"\b([A-Z][12]\d{3})\d{5}\b", r"\b(09\d{2})[\s-]?\d{3}[\s-]?\d{3}\b", r"\b(0[2-9]\d?)[\s-]\d{3,4}[\s-]\d{4}\b"
+PII_SQL = rf"""
+p1 AS (SELECT *, regexp_replace(text, '{CARD}', '\1-****-****-\2', 'g') AS t1, len(regexp_extract_all(text, '{CARD}')) AS credit_card FROM documents),
+p2 AS (SELECT *, regexp_replace(t1, '{NATIONAL}', '\1****', 'g') AS t2, len(regexp_extract_all(t1, '{NATIONAL}')) AS national_id FROM p1),
+p3 AS (SELECT *, regexp_replace(t2, '{MOBILE}', '\1-***-***', 'g') AS t3, len(regexp_extract_all(t2, '{MOBILE}')) AS mobile FROM p2),
+p4 AS (SELECT *, regexp_replace(t3, '{LANDLINE}', '\1-****-****', 'g') AS t4, len(regexp_extract_all(t3, '{LANDLINE}')) AS landline FROM p3),
+p5 AS (
+  SELECT *, regexp_replace(regexp_replace(t4, '(^|[^0-9])([0-9]{{4}})[0-9]{{4}}([^0-9]|$)', '\1\2****\3', 'g'), '(^|[^0-9])([0-9]{{4}})[0-9]{{4}}([^0-9]|$)', '\1\2****\3', 'g') AS redacted,
+    len(list_filter(regexp_extract_all(t4, '[0-9]+'), lambda x: length(x) = 8)) AS business_id
+  FROM p4)"""
+
+
+@query(f"WITH {PII_SQL} SELECT doc_id, redacted FROM p5")
+def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", pii.redact(F.col("text")).alias("redacted"))
+
+
+@query(f"WITH {PII_SQL} SELECT doc_id, credit_card, national_id, mobile, landline, business_id, credit_card + national_id + mobile + landline + business_id AS total FROM p5")
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.with_redaction(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", redacted="r", counts="c")
+    return masked.select("doc_id", *[F.col(f"c.{k}").cast("long").alias(k) for k, _, _ in pii.PATTERNS], F.col("c.total").cast("long").alias("total"))
+
+
+CLASS_SQL = r"""
+m AS (
+  SELECT *, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS density, length(text) - length(regexp_replace(text, '[\x{FFF0}-\x{FFFF}]', '', 'g')) AS strange,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS own
+  FROM documents),
+c AS (
+  SELECT *, strange / greatest(length(text), 1) AS garbage, len(list_filter(own, lambda x: length(x) <= 10)) / greatest(len(own), 1) AS short FROM m),
+k AS (SELECT *, CASE WHEN density < 8 OR garbage >= 0.05 THEN 'scanned' WHEN short > 0.70 THEN 'layout_broken' ELSE 'native' END AS type FROM c)"""
+
+
+@query(f"WITH {CLASS_SQL} SELECT doc_id, type, CAST(round(density, 1) AS DOUBLE) AS char_density, CAST(round(garbage, 4) AS DOUBLE) AS garbage_ratio, CAST(round(short, 3) AS DOUBLE) AS short_line_ratio FROM k")
+def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", classify.classify(F.col("text"), F.lit(1)).alias("c"))
+    return own.select("doc_id", *[F.col(f"c.{x}").alias(x) for x in ("type", "char_density", "garbage_ratio", "short_line_ratio")])
+
+
+@query(f"WITH {CLASS_SQL} SELECT lang, type, count(*) AS documents, CAST(sum(density) AS BIGINT) AS characters FROM k GROUP BY lang, type")
+def classify_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", classify.classify(F.col("text"), F.lit(1))["type"].alias("type"), F.length(text.trim_ws(F.col("text"))).alias("n"))
+    return docs.groupBy("lang", "type").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("characters"))
+
+
+@query(f"WITH {PII_SQL}, {CLASS_SQL.replace('FROM documents', 'FROM (SELECT doc_id, lang, redacted AS text, credit_card + national_id + mobile + landline + business_id AS hits FROM p5)')} SELECT lang, type, count(*) AS documents, CAST(sum(hits) AS BIGINT) AS pii_hits FROM k GROUP BY lang, type")
+def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask, classify and count: the whole spine in one scan and one small shuffle."""
+    masked = pii.with_redaction(table(spark, sf_dir, "documents").select("lang", "text"), "text", redacted="r", counts="c")
+    kinds = masked.select("lang", classify.classify(F.col("r"), F.lit(1))["type"].alias("type"), F.col("c.total").alias("hits"))
+    return kinds.groupBy("lang", "type").agg(F.count(F.lit(1)).alias("documents"), F.sum("hits").cast("long").alias("pii_hits"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '\|.+\|.+\|') AS has_table FROM documents")
+def has_pipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", classify.has_pipe_table(F.col("text")).alias("has_table"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, text || repeat('x', CAST(doc_id % 40 AS INTEGER)) AS t, CAST(1 + doc_id % 7 AS INTEGER) * 20 AS pages FROM documents)
+SELECT doc_id, length(t) >= 50 AND NOT (length(regexp_replace(t, '^\s+|\s+$', '', 'g')) / greatest(pages, 1) < 20 AND NOT regexp_matches(t, '\|.+\|.+\|')) AS accepted FROM d""")
+def layout_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat("text", F.expr("repeat('x', cast(doc_id % 40 as int))"))
+    return table(spark, sf_dir, "documents").select("doc_id", classify.accepts_layout(t, (1 + F.col("doc_id") % 7).cast("int") * 20).alias("accepted"))
+
+
+# --- cells, tables, escapes ---------------------------------------------------------------
+
+CELL = r"regexp_replace(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'), '^ | $', '', 'g')"
+ESCAPED = "replace(replace(" + CELL + r", '\', '\\'), '|', '\|')"
+
+
+@query(f"SELECT doc_id, {ESCAPED.format('text')} AS cell FROM documents")
+def escape_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.escape_cell(F.col("text")).alias("cell"))
+
+
+def suppliers_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of each nation as a table: a header and rows of name, number and balance."""
+    row = F.array(F.trim("s_name"), F.concat(F.lit("no|"), F.col("s_suppkey").cast("string")), F.format_string("%.2f", F.col("s_acctbal").cast("double")))
+    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("r"))
+    header = F.array(F.lit("name | alias"), F.lit("phone"), F.lit("balance"))
+    return rows.select("s_nationkey", F.concat(F.array(header), F.transform("r", lambda x: x["row"])).alias("rows"))
+
+
+def table_sql(line: str, rule: str, header: str) -> str:
+    cells = [ESCAPED.format("trim(s_name)"), ESCAPED.format("('no|' || s_suppkey)"), ESCAPED.format("format('{:.2f}', CAST(s_acctbal AS DOUBLE))")]
+    own = line.format(*cells)
+    return f"SELECT s_nationkey, '{header}' || chr(10) || '{rule}' || chr(10) || string_agg({own}, chr(10) ORDER BY s_suppkey) AS markdown FROM supplier GROUP BY s_nationkey"
+
+
+@query(table_sql("'|' || {0} || '|' || {1} || '|' || {2} || '|'", "|---|---|---|", r"|name \| alias|phone|balance|"))
+def pipe_table_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppliers_by_nation(spark, sf_dir).select("s_nationkey", tables.compact_table(F.col("rows")).alias("markdown"))
+
+
+SPACED_SQL = table_sql("'| ' || {0} || ' | ' || {1} || ' | ' || {2} || ' |'", "| --- | --- | --- |", r"| name \| alias | phone | balance |")
+
+
+@query(SPACED_SQL)
+def pipe_table_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppliers_by_nation(spark, sf_dir).select("s_nationkey", tables.document_table(F.col("rows")).alias("markdown"))
+
+
+@query(SPACED_SQL)
+def pipe_table_pptx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppliers_by_nation(spark, sf_dir).select("s_nationkey", tables.slide_table(F.col("rows")).alias("markdown"))
+
+
+@query(SPACED_SQL)
+def pipe_table_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppliers_by_nation(spark, sf_dir).select("s_nationkey", tables.sheet_table(F.col("rows")).alias("markdown"))
+
+
+@query(r"""
+WITH o AS (SELECT o_custkey, o_orderkey, '| ' || o_orderkey || ' | ' || o_orderstatus || ' |' AS line FROM orders),
+w AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, line ROWS UNBOUNDED PRECEDING) + 40 AS used FROM o)
+SELECT o_custkey, count(*) AS total, CAST(count_if(used - 1 <= 300) AS BIGINT) AS shown FROM w GROUP BY o_custkey""")
+def row_budget_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("r"))
+    header = F.array(F.lit("order number"), F.lit("status"))  # with the rule 40 characters
+    own = rows.select("o_custkey", tables.budgeted_sheet(F.concat(F.array(header), F.transform("r", lambda x: x["row"])), 300).alias("t"))
+    return own.select("o_custkey", F.col("t.total").cast("long").alias("total"), F.col("t.shown").cast("long").alias("shown"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM documents")
+def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.xml_escape(F.col("text")).alias("escaped"))
+
+
+YAML = r"""replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r')"""
+
+
+@query(
+    f"""
+SELECT doc_id, '---' || chr(10) || 'title: "' || {YAML.format("'doc-' || doc_id || '.txt'")} || '"' || chr(10) || 'description: "' || {YAML.format('left(text, 80)')} || '"' || chr(10)
+  || 'pubDate: "{PUBLISHED}"' || chr(10) || 'draft: true' || chr(10) || 'tags:' || chr(10) || '  - "' || {YAML.format('lang')} || '"' || chr(10) || '  - "' || {YAML.format('source')} || '"' || chr(10)
+  || 'sourcePath: "' || {YAML.format('source')} || '"' || chr(10) || '---' || chr(10) AS frontmatter FROM documents"""
+)
+def frontmatter_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.frontmatter(name, F.left("text", F.lit(80)), F.array("lang", "source"), F.col("source"), PUBLISHED).alias("frontmatter"))
+
+
+@query("SELECT doc_id, '# doc-' || doc_id || '.txt' || chr(10) || chr(10) || text || chr(10) AS markdown FROM documents")
+def raw_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.raw_markdown(F.col("text"), name).alias("markdown"))
+
+
+@query("""
+SELECT doc_id, '# ' || source || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '> ' || left(text, 40) || chr(10) || chr(10) ELSE '' END || text || chr(10) AS markdown FROM documents""")
+def refined_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(40))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", text.refined_markdown(F.lit(""), summary, F.col("text"), F.array("lang"), F.col("source")).alias("markdown"))
+
+
+# --- layout of pages ----------------------------------------------------------------------
+
+#: Line items as page elements: every item a one-row table fragment at a height of its line number.
+BOXES_SQL = """
+b AS (
+  SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq, l_linenumber * 20.0 + l_quantity / 4.0 AS y0,
+    CAST(l_partkey % 9 AS DOUBLE) + 30 AS x0, 500 + CAST(l_suppkey % 9 AS DOUBLE) AS x1, 2 + (l_partkey % 5 = 0)::INT AS cols, CAST(l_partkey AS VARCHAR) AS cell, l_linenumber % 6 = 5 AS prose
+  FROM lineitem),
+s AS (SELECT *, CAST(y0 AS DOUBLE) AS y, row_number() OVER (PARTITION BY doc ORDER BY CAST(y0 AS DOUBLE), seq) AS k FROM b)"""
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    items = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    y = (F.col("l_linenumber") * 20.0 + F.col("l_quantity") / 4.0).cast("double")
+    header = F.when(F.col("l_partkey") % 5 == 0, F.array(F.col("l_partkey").cast("string"), F.lit("b"), F.lit("c"))).otherwise(F.array(F.col("l_partkey").cast("string"), F.lit("b")))
+    prose = F.col("l_linenumber") % 6 == 5
+    return items.select(
+        F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.row_number().over(order).alias("seq"), F.when(prose, "text").otherwise("table").alias("kind"), y.alias("y"), (y + 12).alias("y1"),
+        ((F.col("l_partkey") % 9).cast("double") + 30).alias("x0"), (500 + (F.col("l_suppkey") % 9).cast("double")).alias("x1"), F.when(~prose, header).alias("header"),
+        F.when(~prose, F.array().cast("array<array<string>>")).alias("rows"), F.when(prose, F.col("l_comment") if "l_comment" in items.columns else F.lit("text")).alias("text"))
+
+
+@query(f"""
+WITH RECURSIVE {BOXES_SQL},
+f AS (
+  SELECT doc, k, 1 AS out, NOT prose AS is_table, x0, x1, cols, y + 12 AS y1, 0 AS extra FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.doc, s.k, CASE WHEN j.joins THEN f.out ELSE f.out + 1 END, NOT s.prose, CASE WHEN j.joins THEN f.x0 ELSE s.x0 END, CASE WHEN j.joins THEN f.x1 ELSE s.x1 END, CASE WHEN j.joins THEN f.cols ELSE s.cols END, s.y + 12,
+    CASE WHEN j.joins THEN f.extra + 1 ELSE 0 END
+  FROM f JOIN s ON s.doc = f.doc AND s.k = f.k + 1,
+    LATERAL (SELECT f.is_table AND NOT s.prose AND s.cols = f.cols AND greatest(abs(s.x0 - f.x0), abs(s.x1 - f.x1)) <= 6.0 AND s.y - f.y1 <= 30.0 AS joins) j)
+SELECT doc, CAST(out - 1 AS INTEGER) AS seq, max(extra) AS joined FROM f GROUP BY doc, out""")
+def stitch_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = layout.stitch_fragments(boxes(spark, sf_dir), "doc", "page")
+    return done.select("doc", "seq", F.greatest(F.coalesce(F.size("rows"), F.lit(0)), F.lit(0)).alias("joined"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_returnflag AS header, CAST(l_partkey % 3 AS VARCHAR) AS r, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n FROM lineitem),
+p AS (SELECT doc, page, header, [r, r || 'x'] AS rows, row_number() OVER (PARTITION BY doc ORDER BY page) AS k FROM l WHERE n = 1),
+g AS (SELECT *, sum((header IS DISTINCT FROM before)::INT) OVER (PARTITION BY doc ORDER BY k) AS run FROM (SELECT *, lag(header) OVER (PARTITION BY doc ORDER BY k) AS before FROM p)),
+a AS (
+  SELECT doc, run, list_reduce(list(rows ORDER BY k), lambda acc, x: CASE WHEN acc = x THEN acc WHEN acc[len(acc)] = x[1] THEN acc || x[2:] ELSE acc || x END) AS rows FROM g GROUP BY doc, run)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY run) - 1 AS INTEGER) AS seq, array_to_string(rows, ',') AS cells FROM a""")
+def crosspage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    items = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order)).where("n = 1")
+    r = (F.col("l_partkey") % 3).cast("string")
+    zero = F.lit(0.0)
+    pages = items.select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.lit(0).alias("seq"), F.lit("table").alias("kind"), zero.alias("y"), zero.alias("y1"), zero.alias("x0"), zero.alias("x1"),
+        F.array("l_returnflag").alias("header"), F.array(F.array(r), F.array(F.concat(r, F.lit("x")))).alias("rows"), F.lit(None).cast("string").alias("text"))
+    return layout.merge_pages(pages).select("doc", "seq", F.array_join(F.flatten("rows"), ",").alias("cells"))
+
+
+BOUNDS = [(0.0, 100.0), (100.0, 200.0), (220.0, 300.0)]
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey, l_suppkey, l_extendedprice, CAST(l_partkey % 330 AS DOUBLE) AS x FROM lineitem),
+bounds(i, b0, b1) AS (VALUES (0, 0.0, 100.0), (1, 100.0, 200.0), (2, 220.0, 300.0)),
+h AS (
+  SELECT doc, n, l_partkey, l_suppkey, l_extendedprice, x, coalesce(min(i) FILTER (WHERE b0 <= x + 5 AND x + 5 < b1), arg_min(i, (least(abs(x + 5 - b0), abs(x + 5 - b1)), i))) AS c
+  FROM w CROSS JOIN bounds GROUP BY ALL),
+t AS (SELECT doc, c, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY n, x, l_partkey) AS words FROM (SELECT DISTINCT doc, n, x, l_partkey, c FROM h) GROUP BY doc, c)
+SELECT doc, max(CASE WHEN c = 0 THEN words ELSE '' END) AS c0, max(CASE WHEN c = 1 THEN words ELSE '' END) AS c1, max(CASE WHEN c = 2 THEN words ELSE '' END) AS c2 FROM t GROUP BY doc""")
+def bucket_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("l_partkey") % 330).cast("double")
+    words = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("double").alias("y0"), x.alias("x0"), (x + 10).alias("x1"), F.col("l_partkey").alias("p"), F.col("l_partkey").cast("string").alias("text")).alias("w")).distinct()
+    bounds = F.array(*[F.struct(F.lit(a).alias("x0"), F.lit(b).alias("x1")) for a, b in BOUNDS])
+    cells = words.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("w")).alias("w")).select(F.col("l_orderkey").alias("doc"), layout.bucketed_words(F.col("w"), bounds).alias("c"))
+    return cells.select("doc", *[F.get("c", F.lit(i)).alias(f"c{i}") for i in range(3)])
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS page, CAST(o_orderkey % 200 AS DOUBLE) AS x0, CAST(o_orderkey % 200 AS DOUBLE) + 60 AS x1, CAST(o_orderkey % 90 AS DOUBLE) AS y0, CAST(o_orderkey % 90 AS DOUBLE) + 30 AS y1 FROM orders),
+b AS (SELECT c_custkey AS page, CAST(c_custkey % 180 AS DOUBLE) AS x0, CAST(c_custkey % 180 AS DOUBLE) + c_nationkey AS x1, CAST(c_custkey % 80 AS DOUBLE) AS y0, CAST(c_custkey % 80 AS DOUBLE) + 12 AS y1 FROM customer)
+SELECT page FROM b WHERE (x1 - x0) * (y1 - y0) <= 0 OR NOT EXISTS (
+  SELECT 1 FROM t WHERE t.page = b.page AND greatest(least(b.x1, t.x1) - greatest(b.x0, t.x0), 0) * greatest(least(b.y1, t.y1) - greatest(b.y0, t.y0), 0) / ((b.x1 - b.x0) * (b.y1 - b.y0)) > 0.3)""")
+def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rectangle(page: str, x: str, y: str, w, h):
+        x0, y0 = F.expr(x).cast("double"), F.expr(y).cast("double")
+        return [F.col(page).alias("page"), x0.alias("x0"), (x0 + w).alias("x1"), y0.alias("y0"), (y0 + h).alias("y1")]
+
+    rects = table(spark, sf_dir, "orders").select(*rectangle("o_custkey", "o_orderkey % 200", "o_orderkey % 90", 60, 30))
+    blocks = table(spark, sf_dir, "customer").select(*rectangle("c_custkey", "c_custkey % 180", "c_custkey % 80", F.col("c_nationkey"), 12))
+    return layout.outside_tables(blocks, rects, "page").select("page")
+
+
+# --- lookups, numbering, summaries --------------------------------------------------------
+
+
+@query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.first_occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+@query("""
+WITH tools AS (SELECT user_id, event_type AS id, arg_max(props, event_id) AS tool_name FROM events WHERE event_id % 4 = 0 GROUP BY user_id, event_type)
+SELECT e.event_id, coalesce(t.tool_name, 'tool') AS tool_name FROM events e LEFT JOIN tools t ON t.user_id = e.user_id AND t.id = e.event_type WHERE e.event_id % 4 <> 0""")
+def tool_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "id")
+    tools = events.where("event_id % 4 = 0").select("user_id", "id", F.col("props").alias("name"), F.col("event_id").alias("seq"))
+    return relations.resolve_tools(events.where("event_id % 4 <> 0"), tools, keys=["user_id", "id"]).select("event_id", "tool_name")
+
+
+@query("SELECT user_id, strftime(arg_min(ts, event_id), '%Y-%m-%d') AS first_date, strftime(arg_min(ts, event_id), '%H:%M') AS first_time FROM events GROUP BY user_id")
+def session_first_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("ts", "event_id").alias("ts"))
+    return first.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("first_date"), F.date_format("ts", "HH:mm").alias("first_time"))
+
+
+SPINE_SQL = """
+WITH spine AS (SELECT o_custkey AS doc, o_orderkey AS idref, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey % 5 <> 0 AS linear FROM orders),
+items AS (SELECT o_custkey AS doc, o_orderkey AS idref, 'ch' || o_orderkey || '.xhtml' AS href FROM orders WHERE o_orderkey % 7 <> 0),
+nav AS (SELECT o_custkey AS doc, o_orderkey AS idref FROM orders WHERE o_orderkey % 11 = 0),
+n AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc ORDER BY pos) AS chapter FROM spine s ANTI JOIN nav USING (doc, idref) WHERE linear)"""
+
+
+def spine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("idref"))
+    order = own.withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy("idref"))).withColumn("linear", F.col("idref") % 5 != 0)
+    items = own.where("idref % 7 <> 0").withColumn("href", F.concat(F.lit("ch"), F.col("idref").cast("string"), F.lit(".xhtml")))
+    return order, items, own.where("idref % 11 = 0")
+
+
+@query(f"{SPINE_SQL} SELECT n.doc, n.chapter, i.href FROM n JOIN items i USING (doc, idref)")
+def spine_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.numbered_spine(*spine(spark, sf_dir)).select("doc", "chapter", "href")
+
+
+@query(f"{SPINE_SQL} SELECT doc, CAST(count(*) AS BIGINT) AS chapters FROM n GROUP BY doc")
+def nav_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order, _, nav = spine(spark, sf_dir)
+    return relations.numbered_spine(order, order.withColumn("href", F.lit("x")), nav).groupBy("doc").agg(F.count(F.lit(1)).alias("chapters"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, source AS folder, lang || (doc_id % 3) AS stem FROM documents)
+SELECT doc_id, CASE WHEN n = 1 THEN stem ELSE stem || '_' || (n - 1) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY doc_id) AS n FROM d)""")
+def name_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("folder"), F.concat("lang", (F.col("doc_id") % 3).cast("string")).alias("stem"), F.col("doc_id").alias("pos"))
+    return relations.free_names(files).select("doc_id", "name")
+
+
+STATUS_SQL = "CASE doc_id % 7 WHEN 0 THEN 'dry_run' WHEN 1 THEN 'no_content' WHEN 2 THEN 'write_error' WHEN 3 THEN 'strange' ELSE 'ok' END"
+
+
+def raw_status() -> F.Column:
+    k = F.col("doc_id") % 7
+    return F.when(k == 0, "dry_run").when(k == 1, "no_content").when(k == 2, "write_error").when(k == 3, "strange").otherwise("ok")
+
+
+@query(f"SELECT doc_id, CASE {STATUS_SQL} WHEN 'ok' THEN 'ok' WHEN 'dry_run' THEN 'dry_run' WHEN 'no_content' THEN 'skipped' ELSE 'error' END AS status FROM documents")
+def status_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", relations.status_of(raw_status()).alias("status"))
+
+
+@query(f"SELECT '1' AS version, count(*) AS total, CAST(count_if(s IN ('ok', 'dry_run')) AS BIGINT) AS success, CAST(count(*) - count_if(s IN ('ok', 'dry_run')) AS BIGINT) AS failed, CASE WHEN count(*) = 0 THEN 2 WHEN count_if(s IN ('ok', 'dry_run')) = count(*) THEN 0 ELSE 1 END AS exit_code FROM (SELECT {STATUS_SQL} AS s FROM documents)")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.run_summary(table(spark, sf_dir, "documents").select(relations.status_of(raw_status()).alias("status")), "1")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 5")
+def group_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.per_group_limit(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], 5).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, sum(length(o_orderpriority) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders) WHERE n <= 60")
+def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.within_budget(table(spark, sf_dir, "orders"), keys=["o_custkey"], order=["o_orderkey"], size=F.length("o_orderpriority") + 1, budget=60).select("o_custkey", "o_orderkey")
