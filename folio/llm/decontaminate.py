@@ -73,7 +73,7 @@ class Benchmark:
 
 def pack_rows(table: np.ndarray, per: int, bits: int) -> np.ndarray:
     """Rows of ids as rows of integers of ``per`` ids, in the same order."""
-    blocks = table.reshape(len(table), -1, per)
+    blocks = table.reshape(len(table), table.shape[1] // per, per)
     weights = np.array([1 << bits * (per - 1 - i) for i in range(per)], np.int64)
     return (blocks * weights).sum(axis=2)
 
@@ -106,7 +106,7 @@ class Shard:
         alive = np.ones(n, bool)
         for i in range(per):
             here = np.zeros(n, np.int64)
-            here[: n - i] = self.text[i:]
+            here[: max(0, n - i)] = self.text[i:]
             alive &= here > 0
             self.packed |= np.where(alive, here, 0) << bits * (per - 1 - i)
         self.order = np.argsort(self.packed, kind="stable")
