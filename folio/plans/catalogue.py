@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -423,3 +424,121 @@ def group_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, sum(length(o_orderpriority) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders) WHERE n <= 60")
 def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.within_budget(table(spark, sf_dir, "orders"), keys=["o_custkey"], order=["o_orderkey"], size=F.length("o_orderpriority") + 1, budget=60).select("o_custkey", "o_orderkey")
+
+
+# --- transcripts, pages, markup, model answers --------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN '**User**' ELSE '**Assistant**' END || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, '## Session ' || left(CAST(conv_id AS VARCHAR), 8) || chr(10) || chr(10) || string_agg(body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, body) AS markdown FROM t GROUP BY conv_id""")
+def conversation_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as transcript lines, parsed again and rendered by session."""
+    from folio.sources import transcripts
+
+    turns = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant", "system"))
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    entry = F.to_json(F.struct(F.col("role").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), F.struct("role", block.alias("content")).alias("message")))
+    lines = turns.select(F.col("turn").alias("line"), entry.alias("value"))
+    found = transcripts.sessions(transcripts.turns(transcripts.blocks(lines)))
+    return found.select(F.col("session").cast("long").alias("conv_id"), "markdown")
+
+
+@query()
+def transcript_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool uses and results made of events, rendered turn by turn."""
+    from folio.sources import transcripts
+
+    events = table(spark, sf_dir, "events")
+    use = F.struct(F.lit("tool_use").alias("type"), F.col("event_type").alias("id"), F.concat(F.lit("Tool-"), "event_type").alias("name"), F.struct(F.col("props").alias("command")).alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.col("event_type").alias("tool_use_id"), F.col("props").alias("content"))
+    who = F.col("event_id") % 2 == 0
+    entry = lambda role, block: F.to_json(F.struct(F.lit(role).alias("type"), F.col("user_id").cast("string").alias("sessionId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.struct(F.array(block).alias("content")).alias("message")))
+    lines = events.select(F.col("event_id").alias("line"), F.when(who, entry("assistant", use)).otherwise(entry("user", result)).alias("value"))
+    return transcripts.turns(transcripts.blocks(lines)).select("session", "line", "role", "markdown")
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS heading FROM pages")
+def page_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_page_text(table(spark, sf_dir, "pages")).select("page_id", "heading")
+
+
+@query()
+def page_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_page_text(table(spark, sf_dir, "pages")).select("page_id", "body")
+
+
+def with_page_text(pages: DataFrame) -> DataFrame:
+    """Heading and body of HTML pages (page_id, html)."""
+    from folio.sources.archives import page_text
+
+    @F.pandas_udf("heading string, body string")
+    def parts(source: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_text(x or "") for x in source], columns=["heading", "body"])
+
+    return pages.select("page_id", parts("html").alias("p")).select("page_id", "p.heading", "p.body")
+
+
+@query("""
+SELECT item_id, CASE WHEN item_id % 4 = 3 THEN 'JSON parse error — recovered raw content' END AS summary, CASE WHEN item_id % 4 = 3 THEN NULL ELSE 't' || item_id END AS title,
+  CASE WHEN item_id % 4 = 3 THEN 'partial_recovery' END AS status, replace(replace(text, '"', ''), chr(10), ' ') AS body FROM benchmark""")
+def ai_json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as they should be, fenced with a comma too many, cut off, and broken."""
+    from folio.model.repair import answer
+
+    body = F.replace(F.replace("text", F.lit('"'), F.lit("")), F.lit("\n"), F.lit(" "))
+    sound = F.concat(F.lit('{"title": "t'), F.col("item_id").cast("string"), F.lit('", "refined_markdown": "'), body, F.lit('"}'))
+    k = F.col("item_id") % 4
+    raw = F.when(k == 0, sound).when(k == 1, F.concat(F.lit("```json\n"), F.regexp_replace(sound, r"\}\z", ",}"), F.lit("\n```"))).when(k == 2, F.regexp_replace(sound, r'"\}\z', "")).otherwise(F.concat(F.lit("} "), sound, F.lit(" {")))
+    found = table(spark, sf_dir, "benchmark").select("item_id", answer(raw).alias("a"))
+    return found.select("item_id", "a.summary", "a.title", "a.status", F.col("a.refined_markdown").alias("body"))
+
+
+@query()
+def md_to_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.functions.markup import markdown_to_xhtml
+
+    return table(spark, sf_dir, "documents").select("doc_id", markdown_to_xhtml("text").alias("xhtml"))
+
+
+@query()
+def md_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.functions.markup import markdown_to_html
+
+    return table(spark, sf_dir, "documents").select("doc_id", markdown_to_html("text").alias("html"))
+
+
+@query(r"SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS allowed FROM pages")
+def url_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.functions.urls import url_allowed
+
+    return table(spark, sf_dir, "pages").select("page_id", url_allowed("url").alias("allowed"))
+
+
+@query()
+def row_budget_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each segment (nation where there is none) as an aligned table within the budget."""
+    from folio.sources.archives import within_budget
+
+    customers = table(spark, sf_dir, "customer")
+    group = "c_mktsegment" if "c_mktsegment" in customers.columns else "c_nationkey"
+
+    def render(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        data = rows.sort_values("c_custkey")[["c_custkey", "c_name"]].to_numpy(object).tolist()
+        return pd.DataFrame([(str(key[0]), within_budget(["key", "name"], data))], columns=["segment", "markdown"])
+
+    return customers.select(group, "c_custkey", "c_name").groupBy(group).applyInPandas(render, "segment string, markdown string")
+
+
+@query()
+def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as books, read again: the text that comes back."""
+    from folio.sinks.epub import epub
+    from folio.sources.archives import epub as read
+
+    @F.pandas_udf("string")
+    def text_of(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: read(c, lambda _: None))
+
+    items = table(spark, sf_dir, "benchmark")
+    return items.select("item_id", text_of(epub(F.concat(F.lit("Item "), F.col("item_id").cast("string")), F.col("text"))).alias("text"))
