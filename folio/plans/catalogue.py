@@ -458,7 +458,10 @@ def transcript_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.turns(transcripts.blocks(lines)).select("session", "line", "role", "markdown")
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS heading FROM pages")
+@query(r"""
+WITH h AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS t FROM pages),
+u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM h)
+SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS heading FROM u""")
 def page_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_page_text(table(spark, sf_dir, "pages")).select("page_id", "heading")
 
