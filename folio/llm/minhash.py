@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ from folio.llm.shared import Memo, bit_map, shared_folder, written
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-BLOCK = 2048
+#: Shingles of a block of a bucket's members; a task holds two blocks.
+BLOCK_SHINGLES = 4 << 20
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,7 +64,7 @@ _hashes: dict[int, Memo] = {}
 def word_hash() -> Memo:
     import xxhash
 
-    return _hashes.setdefault(0, Memo(xxhash.xxh3_64_intdigest, 400_000))
+    return _hashes.setdefault(0, Memo(xxhash.xxh3_64_intdigest))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -197,9 +199,8 @@ def links_of_bucket(percent: int):
     def run(table: pa.Table) -> pa.Table:
         docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "component", "block", "n_shingles"))
         matrix = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, BINS)
-        full = table.column("shingles").to_pylist()
-        sets = [np.array(x, np.int64) for x in full]
-        del full
+        lists = table.column("shingles").combine_chunks()
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1])
         band, low = table.column("band").to_numpy()[0], table.column("low").to_numpy()[0]
         left = np.flatnonzero(side == low)
         right = np.flatnonzero(side != low) if (side != low).any() else left
@@ -265,7 +266,7 @@ def labelled(signed: DataFrame, plain: DataFrame, folder: str, size: int, percen
     classes = written(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "bands", "signature")).alias("own")), folder, "classes")
     bands = classes.select("doc", "n_shingles", F.posexplode("own.bands").alias("band", "bucket"))
     order = F.min(F.struct(F.xxhash64("doc").alias("o"), "doc", "n_shingles"))
-    buckets = written(bands.groupBy("bucket").agg(order.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "n", F.col("c.doc").alias("center"), F.col("c.n_shingles").alias("center_size")), folder, "buckets")
+    buckets = written(bands.groupBy("bucket").agg(order.alias("c"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles_in")).where("n > 1").select("bucket", "n", "shingles_in", F.col("c.doc").alias("center"), F.col("c.n_shingles").alias("center_size")), folder, "buckets")
     members = written(bands.join(buckets, "bucket"), folder, "members")
     sized = F.expr(f"100 * least(n_shingles, center_size) >= {percent} * greatest(n_shingles, center_size)")
     stars = members.where((F.col("doc") != F.col("center")) & sized).select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct()
@@ -275,9 +276,9 @@ def labelled(signed: DataFrame, plain: DataFrame, folder: str, size: int, percen
     linked = components(links, folder, "star-components")
     left = members.where("n > 2").join(linked, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    inside = written(left.join(open_, "bucket").select("bucket", "band", "n", "doc", "component", "n_shingles"), folder, "open")
+    inside = written(left.join(open_, "bucket").select("bucket", "band", "shingles_in", "doc", "component", "n_shingles"), folder, "open")
     wanted = written(inside.select("doc").distinct(), folder, "open-docs")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("shingles_in") / BLOCK_SHINGLES).cast("int")
     full = shingle_sets(plain, wanted, size).join(classes.select("doc", F.col("own.signature").alias("signature")), "doc")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     inside = inside.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n_shingles").join(full, "doc")
