@@ -26,8 +26,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,50 +150,81 @@ def without_runs(text: bytes | None, runs: list[tuple[int, int]]) -> tuple[bytes
     return b"\n".join(x for i, x in enumerate((text or b"").split(b"\n")) if i not in gone), len(places), len(gone)
 
 
-RUNS, HASH, STATS = "__folio_runs", "__folio_hash", "__folio_lines"
+RUNS, HASH, SPOT, HAD = "__folio_runs", "__folio_hash", "__folio_spot", "__folio_had"
 
 
-def with_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with the runs to delete from each text, null for none."""
-    folder = shared_folder(docs.sparkSession)
-    later = written(later_runs(docs, min_words, folder), folder, "later")
+def cut_texts(texts: pa.Array, runs: list[list[dict] | None]) -> list[tuple[bytes | None, int, int]]:
+    return [without_runs(t, [(r["line"], r["size"]) for r in own or ()]) for t, own in zip(texts.cast(pa.binary()).to_pylist(), runs)]
 
-    shared, power = bit_map(later, "doc_hash")
 
-    @F.pandas_udf("boolean")
-    def marked(spots: pd.Series) -> pd.Series:
-        bits, at = shared.value, spots.to_numpy()
-        return pd.Series((bits[at >> 6] >> (at & 63) & 1).astype(bool))
+class Cut:
+    """Output rows of documents: with their line counts, or as they were with ``n_chars`` renewed where lines went."""
 
-    own = later.select(F.col("doc_id").alias("__folio_id"), F.col("doc_hash").alias("__folio_own"), F.col("runs").alias(RUNS)).hint("merge")
-    key = docs.withColumn(HASH, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    mark = marked(F.pmod(F.xxhash64(HASH), F.lit(1 << power)))
-    # only texts that the bit map marks are shuffled to meet their runs
-    hit = key.where(mark).join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("__folio_id")) & (F.col(HASH) == F.col("__folio_own")), "left").drop("__folio_id", "__folio_own")
-    return hit.unionByName(key.where(~mark).withColumn(RUNS, F.lit(None).cast(own.schema[RUNS].dataType))).drop(HASH)
+    def __init__(self, docs: DataFrame, counted: bool) -> None:
+        self.names, self.counted = docs.columns, counted
+        self.text = docs.columns.index("text")
+        self.size = docs.columns.index("n_chars") if "n_chars" in docs.columns and not counted else None
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        self.schema = f"{kinds}, {'n_lines long, n_removed long' if counted else HAD + ' boolean'}"
 
+    def rows(self, batch: pa.RecordBatch, runs: list[list[dict] | None]) -> pa.RecordBatch:
+        """``batch`` begins with the documents' columns."""
+        arrays = list(batch.columns[: len(self.names)])
+        old = arrays[self.text]
+        new = cut_texts(old, runs)
+        arrays[self.text] = pa.array([x[0] for x in new], pa.binary()).cast(pa.string())
+        if self.size is not None:
+            sizes = [len(x[0].decode()) if r and n is not None else n for x, r, n in zip(new, runs, arrays[self.size].to_pylist())]
+            arrays[self.size] = pa.array(sizes, arrays[self.size].type)
+        if self.counted:
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.int64())], [*self.names, "n_lines", "n_removed"])
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([x[1] > 0 for x in new])], [*self.names, HAD])
 
-def cut_batches(position: int, extra: bool, counts: int | None):
-    """Texts without their runs (the last column); adds the line counts, or renews ``n_chars``."""
+    def unmarked(self, shared: Broadcast):
+        """Rows that the bit map doesn't mark: nothing goes from them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.filter(pa.array(~is_marked(batch, shared)))
+                if own.num_rows:
+                    yield self.rows(own, [None] * own.num_rows)
+
+        return run
+
+    def marked(self, shared: Broadcast):
+        """Rows that it marks, with their hash, on the way to their runs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.filter(pa.array(is_marked(batch, shared)))
+                yield pa.RecordBatch.from_arrays(own.columns[:-1], own.schema.names[:-1])
+
+        return run
+
+    def joined(self, batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(position).cast(pa.binary()).to_pylist()
-            runs = [[(r["line"], r["size"]) for r in own or ()] for own in batch.column(batch.num_columns - 1).to_pylist()]
-            new = [without_runs(t, r) for t, r in zip(texts, runs)]
-            arrays = list(batch.columns[:-1])
-            names = list(batch.schema.names[:-1])
-            arrays[position] = pa.array([x[0] for x in new], pa.binary()).cast(pa.string())
-            if extra:
-                arrays += [pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.int64())]
-                names += ["n_lines", "n_removed"]
-            elif counts is not None:
-                old = arrays[counts].to_pylist()
-                sizes = [len(x[0].decode()) if r and o is not None else o for x, r, o in zip(new, runs, old)]
-                arrays[counts] = pa.array(sizes, arrays[counts].type)
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield self.rows(batch, batch.column(batch.num_columns - 1).to_pylist())
 
-    return run
+
+def is_marked(batch: pa.RecordBatch, shared: Broadcast) -> np.ndarray:
+    bits, at = shared.value, batch.column(batch.num_columns - 1).to_numpy()
+    return (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
+def cut_documents(docs: DataFrame, min_words: int, counted: bool) -> DataFrame:
+    """``docs`` without the later copies; only texts that a bit map marks are shuffled to meet their runs."""
+    folder, cut = shared_folder(docs.sparkSession), Cut(docs, counted)
+    later = written(later_runs(docs, min_words, folder), folder, "later")
+    shared, power = bit_map(later, "doc_hash")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = docs.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias(HASH))
+    key = key.withColumn(SPOT, F.pmod(F.xxhash64(HASH), F.lit(1 << power)))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    hit = key.mapInArrow(cut.marked(shared), f"{kinds}, {HASH} long")
+    # a merge join whatever the size: a broadcast of the runs would only fit while they are few
+    own = later.select(F.col("doc_id").alias("__folio_id"), F.col("doc_hash").alias("__folio_own"), F.col("runs").alias(RUNS)).hint("merge")
+    met = hit.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("__folio_id")) & (F.col(HASH) == F.col("__folio_own")), "left")
+    return met.select(*columns, RUNS).mapInArrow(cut.joined, cut.schema).unionByName(key.mapInArrow(cut.unmarked(shared), cut.schema))
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -209,7 +240,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     same result. Other columns are not read.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_runs(plain, min_words).mapInArrow(cut_batches(1, True, None), "doc_id long, text string, n_lines long, n_removed long")
+    return cut_documents(plain, min_words, True)
 
 
 def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -217,10 +248,5 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
 
     A document of which no line is left goes, unless it had none before.
     """
-    schema = docs.schema
-    counts = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    had = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\s]")
-    marked = with_runs(docs.withColumn("__folio_had", had), min_words).select(*[F.col(f"`{c}`") for c in docs.columns], "__folio_had", RUNS)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    cut = marked.mapInArrow(cut_batches(docs.columns.index("text"), False, counts), f"{kinds}, __folio_had boolean")
-    return cut.where(~F.col("__folio_had") | F.col("text").rlike(r"[^\s]")).drop("__folio_had")
+    cut = cut_documents(docs, min_words, False)
+    return cut.where(~F.col(HAD) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(HAD)
