@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import classify, noise, pii, tables, text
 from folio.operators import layout, relations
+from folio.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table with long texts, over all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 # --- text: noise, personal data, classes --------------------------------------------------
 
 #: A derived text with links, blank lines and a notice (first in every third document), the same on both sides.
@@ -40,7 +46,7 @@ NOTICE = "依金融監督管理委員會保險局規定辦理"
 
 
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "url")
+    docs, pages = texts(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "pages").select("page_id", "url")
     n = pages.count()
     body = F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n\n\n")), F.lit("\n\n"), F.coalesce("url", F.lit("")), F.lit("\n"))
     joined = docs.withColumn("page_id", F.pmod("doc_id", F.lit(n))).join(pages, "page_id", "left")
@@ -102,12 +108,12 @@ p5 AS (
 
 @query(f"WITH {PII_SQL} SELECT doc_id, redacted FROM p5")
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", pii.redact(F.col("text")).alias("redacted"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", pii.redact(F.col("text")).alias("redacted"))
 
 
 @query(f"WITH {PII_SQL} SELECT doc_id, credit_card, national_id, mobile, landline, business_id, credit_card + national_id + mobile + landline + business_id AS total FROM p5")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = pii.with_redaction(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", redacted="r", counts="c")
+    masked = pii.with_redaction(texts(spark, sf_dir, "documents", "doc_id", "text"), "text", redacted="r", counts="c")
     return masked.select("doc_id", *[F.col(f"c.{k}").cast("long").alias(k) for k, _, _ in pii.PATTERNS], F.col("c.total").cast("long").alias("total"))
 
 
@@ -123,20 +129,20 @@ k AS (SELECT *, CASE WHEN density < 8 OR garbage >= 0.05 THEN 'scanned' WHEN sho
 
 @query(f"WITH {CLASS_SQL} SELECT doc_id, type, CAST(round(density, 1) AS DOUBLE) AS char_density, CAST(round(garbage, 4) AS DOUBLE) AS garbage_ratio, CAST(round(short, 3) AS DOUBLE) AS short_line_ratio FROM k")
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("doc_id", classify.classify(F.col("text"), F.lit(1)).alias("c"))
+    own = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", classify.classify(F.col("text"), F.lit(1)).alias("c"))
     return own.select("doc_id", *[F.col(f"c.{x}").alias(x) for x in ("type", "char_density", "garbage_ratio", "short_line_ratio")])
 
 
 @query(f"WITH {CLASS_SQL} SELECT lang, type, count(*) AS documents, CAST(sum(density) AS BIGINT) AS characters FROM k GROUP BY lang, type")
 def classify_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("lang", classify.classify(F.col("text"), F.lit(1))["type"].alias("type"), F.length(text.trim_ws(F.col("text"))).alias("n"))
+    docs = texts(spark, sf_dir, "documents", "lang", "text").select("lang", classify.classify(F.col("text"), F.lit(1))["type"].alias("type"), F.length(text.trim_ws(F.col("text"))).alias("n"))
     return docs.groupBy("lang", "type").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("characters"))
 
 
 @query(f"WITH {PII_SQL}, {CLASS_SQL.replace('FROM documents', 'FROM (SELECT doc_id, lang, redacted AS text, credit_card + national_id + mobile + landline + business_id AS hits FROM p5)')} SELECT lang, type, count(*) AS documents, CAST(sum(hits) AS BIGINT) AS pii_hits FROM k GROUP BY lang, type")
 def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask, classify and count: the whole spine in one scan and one small shuffle."""
-    masked = pii.with_redaction(table(spark, sf_dir, "documents").select("lang", "text"), "text", redacted="r", counts="c")
+    masked = pii.with_redaction(texts(spark, sf_dir, "documents", "lang", "text"), "text", redacted="r", counts="c")
     kinds = masked.select("lang", classify.classify(F.col("r"), F.lit(1))["type"].alias("type"), F.col("c.total").alias("hits"))
     return kinds.groupBy("lang", "type").agg(F.count(F.lit(1)).alias("documents"), F.sum("hits").cast("long").alias("pii_hits"))
 
@@ -162,7 +168,7 @@ ESCAPED = "replace(replace(" + CELL + r", '\', '\\'), '|', '\|')"
 
 @query(f"SELECT doc_id, {ESCAPED.format('text')} AS cell FROM documents")
 def escape_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.escape_cell(F.col("text")).alias("cell"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.escape_cell(F.col("text")).alias("cell"))
 
 
 def suppliers_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +222,7 @@ def row_budget_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM documents")
 def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.xml_escape(F.col("text")).alias("escaped"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.xml_escape(F.col("text")).alias("escaped"))
 
 
 YAML = r"""replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r')"""
@@ -463,12 +469,12 @@ WITH h AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h
 u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM h)
 SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS heading FROM u""")
 def page_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_page_text(table(spark, sf_dir, "pages")).select("page_id", "heading")
+    return with_page_text(texts(spark, sf_dir, "pages", "page_id", "html")).select("page_id", "heading")
 
 
 @query()
 def page_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_page_text(table(spark, sf_dir, "pages")).select("page_id", "body")
+    return with_page_text(texts(spark, sf_dir, "pages", "page_id", "html")).select("page_id", "body")
 
 
 def with_page_text(pages: DataFrame) -> DataFrame:
@@ -501,14 +507,14 @@ def ai_json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_to_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.functions.markup import markdown_to_xhtml
 
-    return table(spark, sf_dir, "documents").select("doc_id", markdown_to_xhtml("text").alias("xhtml"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", markdown_to_xhtml("text").alias("xhtml"))
 
 
 @query()
 def md_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.functions.markup import markdown_to_html
 
-    return table(spark, sf_dir, "documents").select("doc_id", markdown_to_html("text").alias("html"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", markdown_to_html("text").alias("html"))
 
 
 @query(r"SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS allowed FROM pages")
