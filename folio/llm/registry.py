@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import decontaminate, html_text, line_dedup, lm_score, minhash, packing, quality_rules, token_counts, url_rules, warc
+from folio.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+    return decontaminate.decontaminate(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("longest_match")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +31,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
