@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 MAX_BENCHMARK_BYTES = 256 << 20
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 
 #: A-Z to lower case; every other ASCII character that isn't a letter or digit separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -134,6 +134,7 @@ def sign(size: int, signatures: bool = True):
             sizes = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
             array = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), array, pa.array(small, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "bands", "signature"])
+        _hashes.clear()  # the worker goes on to other operators
 
     return run
 
@@ -154,6 +155,7 @@ def shingle_sets(plain: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             own = [shingle_hashes(np.array([hash_of(w) for w in (text or b"").lower().split()], np.uint64), size).view(np.int64) for text in texts]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chosen)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["doc", "shingles"])
+        _hashes.clear()
 
     spots = plain.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << power)).alias("spot"))
     return spots.mapInArrow(run, "doc long, shingles array<long>")

@@ -140,8 +140,8 @@ class WordPieces:
         others = (b for b in range(256) if b not in shown)
         self.shown = shown | {b: chr(256 + i) for i, b in enumerate(others)}  # byte-level BPE's letters for bytes
         self.points = {bytes((b,)) for b in b".,;:!?"}
-        self.words = Memo(self.word, 400_000)
-        self.chunks = Memo(self.chunk, 400_000)
+        self.words = Memo(self.word, 100_000)
+        self.chunks = Memo(self.chunk, 200_000)
 
     def word(self, word: str) -> bytes:
         letters = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
@@ -161,6 +161,12 @@ class WordPieces:
             return b"".join(map(self.words.__getitem__, self.find(text)))
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def forget(self) -> None:
+        """Frees the memos."""
+        for memo in (self.words, self.chunks):
+            memo.clear()
+            memo.older = {}
+
     def text(self, text: bytes) -> bytes:
         """Ids of a whole text; A-Z are lower-cased at once where no special token's sign is about."""
         if self.known and b"<|" not in text:
