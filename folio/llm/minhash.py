@@ -140,7 +140,7 @@ def sign(size: int, signatures: bool = True):
 
 
 def shingle_sets(plain: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc, shingles) of at least the wanted documents: the bit map thins the texts where they are; its false hits do no harm."""
+    """(doc, shingles) of at least the wanted documents: the bit map thins the texts where they are; its false hits do no harm. A set ascends as unsigned numbers."""
     shared, power = bit_map(wanted, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def links_of_bucket(percent: int):
         docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "component", "block", "n_shingles"))
         matrix = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, BINS)
         lists = table.column("shingles").combine_chunks()
-        sets = np.split(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1])
+        sets = np.split(lists.flatten().to_numpy().view(np.uint64), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1])
         band, low = table.column("band").to_numpy()[0], table.column("low").to_numpy()[0]
         left = np.flatnonzero(side == low)
         right = np.flatnonzero(side != low) if (side != low).any() else left

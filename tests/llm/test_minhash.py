@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from folio.llm import minhash as m
 
@@ -62,6 +63,36 @@ def test_members_unlike_their_center_are_linked(spark, docs, monkeypatch):
     check(spark, docs, [(i, " ".join(words[9 * i : 9 * i + 120])) for i in range(20)], 1)
 
 
+def test_members_like_the_base_only_are_linked(spark, docs):
+    """Variants of one base, unlike each other: where a variant is the center, the stars see no link."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(500, " ".join(base))]
+    for i in range(60):
+        own = list(base)
+        for k in rng.sample(range(120), 12):
+            own[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(own)))
+    check(spark, docs, rows, 1)
+
+
+def bucket(sets, band=0):
+    """A bucket's table of one block, each member a component of its own."""
+    n = len(sets)
+    signature = [(m.densified(s) & np.uint64(255)).astype(np.uint8).tobytes() for s in sets]
+    columns = {"doc": range(n), "component": range(n), "block": [0] * n, "low": [0] * n, "band": [band] * n, "n_shingles": map(len, sets)}
+    table = {name: pa.array(list(x), pa.int64()) for name, x in columns.items()}
+    return pa.table(table | {"signature": pa.array(signature, pa.binary()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+
+def test_identical_sets_of_a_bucket_are_linked():
+    rng = np.random.default_rng(4)
+    for n in (20, 120, 2000):
+        own = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        other = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert m.links_of_bucket(80)(bucket([own, other, own])).to_pylist() == [{"a": 0, "b": 2}]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     for n in (3, 40, 2000):
