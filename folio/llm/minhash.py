@@ -196,11 +196,12 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def links_of_bucket(percent: int):
-    """Confirmed links of one bucket's blocks across components, of pairs that share no earlier band."""
+    """Confirmed links of one bucket's blocks across components, of pairs that share no earlier bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         docs, comps, side, n = (table.column(c).to_numpy() for c in ("doc", "component", "block", "n_shingles"))
         matrix = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, BINS)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         lists = table.column("shingles").combine_chunks()
         sets = np.split(lists.flatten().to_numpy().view(np.uint64), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1])
         band, low = table.column("band").to_numpy()[0], table.column("low").to_numpy()[0]
@@ -229,7 +230,7 @@ def links_of_bucket(percent: int):
                 least = np.minimum(occupied[u], occupied[v])
                 fine = equal.sum(axis=1) >= BINS * (p - 6 * np.sqrt(p * (1 - p) / least) - 1 / least)
                 if band:
-                    fine &= ~equal[:, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+                    fine[fine] = ~(keys[u[fine], :band] == keys[v[fine], :band]).any(axis=1)
                 for k, m in zip(u[fine].tolist(), v[fine].tolist()):
                     c, d = root(int(comps[k])), root(int(comps[m]))
                     if c == d:
@@ -281,7 +282,7 @@ def labelled(signed: DataFrame, plain: DataFrame, folder: str, size: int, percen
     inside = written(left.join(open_, "bucket").select("bucket", "band", "shingles_in", "doc", "component", "n_shingles"), folder, "open")
     wanted = written(inside.select("doc").distinct(), folder, "open-docs")
     blocks = F.ceil(F.col("shingles_in") / BLOCK_SHINGLES).cast("int")
-    full = shingle_sets(plain, wanted, size).join(classes.select("doc", F.col("own.signature").alias("signature")), "doc")
+    full = shingle_sets(plain, wanted, size).join(classes.select("doc", F.col("own.bands").alias("bands"), F.col("own.signature").alias("signature")), "doc")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     inside = inside.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "component", "n_shingles").join(full, "doc")
     more = inside.groupBy("bucket", "low", "high").applyInArrow(links_of_bucket(percent), "a long, b long")

@@ -76,13 +76,14 @@ def test_members_like_the_base_only_are_linked(spark, docs):
     check(spark, docs, rows, 1)
 
 
-def bucket(sets, band=0):
+def bucket(sets, band=0, bands=None):
     """A bucket's table of one block, each member a component of its own."""
     n = len(sets)
     signature = [(m.densified(s) & np.uint64(255)).astype(np.uint8).tobytes() for s in sets]
     columns = {"doc": range(n), "component": range(n), "block": [0] * n, "low": [0] * n, "band": [band] * n, "n_shingles": map(len, sets)}
     table = {name: pa.array(list(x), pa.int64()) for name, x in columns.items()}
-    return pa.table(table | {"signature": pa.array(signature, pa.binary()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+    bands = [[0] * m.BANDS] * n if bands is None else bands
+    return pa.table(table | {"bands": pa.array(bands, pa.list_(pa.int64())), "signature": pa.array(signature, pa.binary()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
 
 def test_identical_sets_of_a_bucket_are_linked():
@@ -93,6 +94,14 @@ def test_identical_sets_of_a_bucket_are_linked():
         assert m.links_of_bucket(80)(bucket([own, other, own])).to_pylist() == [{"a": 0, "b": 2}]
 
 
+def test_only_a_shared_earlier_bucket_leaves_a_pair_out():
+    """Equal low bytes in an earlier band aren't a shared bucket."""
+    own = np.unique(np.random.default_rng(6).integers(0, 2**64, 200, dtype=np.uint64))
+    apart, shared = [list(range(m.BANDS)), [-1, *range(1, m.BANDS)]], [list(range(m.BANDS))] * 2
+    assert m.links_of_bucket(80)(bucket([own, own], 1, apart)).to_pylist() == [{"a": 0, "b": 1}]
+    assert m.links_of_bucket(80)(bucket([own, own], 2, shared)).num_rows == 0
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     for n in (3, 40, 2000):
