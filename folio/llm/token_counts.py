@@ -2,8 +2,9 @@
 
 An Aho-Corasick automaton over the vocabulary enumerates the pieces that end
 at each character; the dynamic programme keeps, per position, the best score
-and how many tokens its path has, nothing to trace back. Ties go as in the
-tokenizer: of equal scores the piece that begins first wins, an unknown
+and how many tokens its path has, nothing to trace back, and of both only as
+many positions as the longest piece reaches back: a word of any length takes
+the same memory. Ties go as in the tokenizer: of equal scores the piece that begins first wins, an unknown
 character comes after all pieces.
 """
 
@@ -19,6 +20,7 @@ from folio.llm.shared import Memo, tokenizer_file
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+LONG = 64  # longer words aren't remembered
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -40,41 +42,45 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         known = {piece for piece, _ in pieces}
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in known} if byte_fallback else set()
 
     def run(self, word: str) -> tuple[int, int, float]:
         """Tokens, how many of them are bytes or unknown, and the best score."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, match in self.automaton.iter(word):
-            ends[last + 1].append(match)
-        best, count, strange = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        open_run: list[str] = [""] * (n + 1)  # the unknown characters just before
+        n, size = len(word), self.longest + 1
+        best, count, strange = [0.0] * size, [0] * size, [0] * size  # rings by position
+        run, covered = 0, True  # bytes of the unknown characters just before; whether all are pieces
+        matches = self.automaton.iter(word)
+        last, match = next(matches, (n, None))
         for end in range(1, n + 1):
             top, start, single = float("-inf"), -1, False
-            for length, score in ends[end]:  # longest first
-                value = score + best[end - length]
+            while last == end - 1:  # longest first
+                length, score = match
+                value = score + best[(end - length) % size]
                 single |= length == 1
                 if start < 0 or value > top:
-                    top, start = value, end - length
+                    top, start = value, (end - length) % size
+                last, match = next(matches, (n, None))
+            here = end % size
             if not single:
-                value = self.unknown + best[end - 1]
+                before = (end - 1) % size
+                value = self.unknown + best[before]
                 if start < 0 or value > top:
-                    before, run = open_run[end - 1], open_run[end - 1] + word[end - 1]
-                    tokens = self.fallback(run) - (self.fallback(before) if before else 0)
-                    best[end], count[end], strange[end], open_run[end] = value, count[end - 1] + tokens, strange[end - 1] + tokens, run
+                    encoded = word[end - 1].encode()
+                    tokens = -self.fallback(run, covered)
+                    run, covered = run + len(encoded), covered and self.bytes.issuperset(encoded)
+                    tokens += self.fallback(run, covered)
+                    best[here], count[here], strange[here] = value, count[before] + tokens, strange[before] + tokens
                     continue
-            best[end], count[end], strange[end] = top, count[start] + 1, strange[start]
-        return count[n], strange[n], best[n]
+            run, covered = 0, True
+            best[here], count[here], strange[here] = top, count[start] + 1, strange[start]
+        return count[n % size], strange[n % size], best[n % size]
 
-    def fallback(self, unknown: str) -> int:
-        """Tokens of a run of unknown characters: its bytes where all are pieces, else one."""
-        if not self.bytes:
-            return 1
-        encoded = unknown.encode()
-        return len(encoded) if self.bytes.issuperset(encoded) else 1
+    def fallback(self, run: int, covered: bool) -> int:
+        """Tokens of a run of unknown characters of so many bytes: the bytes where all are pieces, else one."""
+        return run if self.bytes and covered else min(run, 1)
 
 
 def words(text: str) -> list[str]:
@@ -97,7 +103,11 @@ def count_tokens(docs: DataFrame, *, model: str | None = None, byte_fallback: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         counter = Counter(vocabulary(path), byte_fallback)
-        found = Memo(counter.run).__getitem__
+        memo = Memo(counter.run)
+
+        def found(word: str) -> tuple[int, int, float]:
+            return memo[word] if len(word) <= LONG else counter.run(word)
+
         for batch in batches:
             tokens, strange, scores = [], [], []
             for text in batch.column(1).to_pylist():

@@ -1,10 +1,14 @@
+import random
+import time
+import tracemalloc
+
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from folio.llm import token_counts as t
 from folio.llm.shared import tokenizer_file
 
-ODD = ["", " ", "  a  b ", "▁a ▁ b▁▁c", "日本語 テスト 😀😀 x", "\x00 a\x01b", "<s> <unk> <0x41>", "a\nb\r\nc\td", "é" * 50, "é́", "word" * 3000]
+ODD = ["", " ", "  a  b ", "▁a ▁ b▁▁c", "日本語 テスト 😀😀 x", "\x00 a\x01b", "<s> <unk> <0x41>", "a\nb\r\nc\td", "é" * 50, "é́", "word" * 3000, "😀" * 500 + "a😀", "😀a" * 300, "\U0001f9ff\u0378" * 40]
 
 
 def reference(vocabulary, byte_fallback):
@@ -27,6 +31,24 @@ def test_ties_and_unknown_characters():
         assert sum(counter.run(w)[0] for w in t.words(text)) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_random_texts():
+    rng, alphabet = random.Random(4), "aab be▁é語😀."
+    vocabulary = [("<unk>", 0.0), ("▁", -2.0), *{"".join(rng.choices("abe▁", k=rng.randint(1, 5))): -float(rng.randint(1, 9)) for _ in range(60)}.items()]
+    vocabulary = list({p: (p, s) for p, s in vocabulary}.values())
+    tokenizer, counter = reference(vocabulary, False), t.Counter(vocabulary, False)
+    for _ in range(500):
+        text = "".join(rng.choices(alphabet, k=rng.randint(1, 60)))
+        assert sum(counter.run(w)[0] for w in t.words(text)) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+def test_a_million_unknown_characters():
+    counter, start = t.Counter(t.vocabulary(tokenizer_file("piece_bpe_32k.model"))), time.perf_counter()
+    tracemalloc.start()
+    assert counter.run("▁" + "\U0001f9ff" * 1_000_000)[0] == 4_000_001
+    assert time.perf_counter() - start < 30 and tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
 def test_edge_rows(spark, docs):
     got = t.count_tokens(docs([(1, None), (2, ""), (None, "a"), (None, "a")]))
     assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect())[:2] == [("1", 0), ("2", 0)] and got.count() == 4
