@@ -8,13 +8,18 @@ item (no match is longer). Every suffix of every item is binary-searched in
 it; the interval of suffixes that begin with the item's window are the
 window's occurrences, and each is then extended to its longest match.
 
-Documents stay where they are: no shuffle. Only the benchmark is broadcast,
-behind a check of its size.
+Documents stay where they are: no shuffle. The benchmark is cut into parts of
+about ``PART_BYTES`` of text, each built on an executor into flat arrays and
+written to the shared folder; a worker has one part at a time (about ten times
+its text; a longer item is a part of its own) and puts what the parts find in
+a shard together. A benchmark of one part is loaded once a process.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.shared import filesystem, shared_folder
+
 WINDOW = 10
-MAX_BENCHMARK_BYTES = 256 << 20
+PART_BYTES = 8 << 20
 SHARD_WORDS = 1_000_000
 
 #: A-Z to lower case; every other ASCII character that isn't a letter or digit separates words.
@@ -35,47 +42,53 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 
 class Benchmark:
-    """Items as word ids (from 1), their windows and which items have each window."""
+    """Items as word ids (from 1) in a row, and their distinct windows with the places and items of each."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
-        self.words: list[np.ndarray] = []
-        found: dict[bytes, set[int]] = {}
-        self.places: dict[bytes, list[tuple[int, int]]] = {}  # window: (text, word)
-        self.owner: list[int] = []
-        for name, text in items:
-            own = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in split_words(text)], np.int64)
-            if not len(own):
-                continue
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1):
-                key = own[at : at + size].tobytes()
-                found.setdefault(key, set()).add(number[name])
-                self.places.setdefault(key, []).append((len(self.words), at))
-            self.words.append(own)
-            self.owner.append(number[name])
-        self.keys = sorted(found, key=len)
-        self.sizes = np.array([len(k) // 8 for k in self.keys], np.int64)
-        self.items = [np.array(sorted(found[k]), np.int64) for k in self.keys]
-        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
-        self.longest = max((len(w) for w in self.words), default=0)
+        texts = [(number[name], np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in own], np.int32)) for name, text in items if (own := split_words(text))]
+        lengths = np.array([len(x) for _, x in texts], np.int64)
+        self.owner = np.array([x for x, _ in texts], np.int64)
+        self.words = np.concatenate([x for _, x in texts]) if texts else np.zeros(0, np.int32)
+        self.first = np.cumsum(lengths) - lengths
+        self.last = self.first + lengths
+        size = np.minimum(lengths, window)
+        count = lengths - size + 1
+        text = np.repeat(np.arange(len(texts)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first, count)
+        self.shortest = int(size.min()) if len(size) else 0
+        self.longest = int(lengths.max()) if len(size) else 0
         self.bits = max(1, int(len(self.ids)).bit_length())
         self.per = 62 // self.bits  # words in one packed integer
-        blocks = -(-window // self.per)
-        table = np.zeros((len(self.keys), blocks * self.per), np.int64)
-        for row, key in enumerate(self.keys):
-            table[row, : len(key) // 8] = np.frombuffer(key, np.int64)
-        self.packed = pack_rows(table, self.per, self.bits)
+        table = np.zeros((len(at), -(-window // self.per) * self.per), np.int32)
+        for i in range(window):
+            inside = size[text] > i
+            table[inside, i] = self.words[at[inside] + i]
+        rows = pack_rows(table, self.per, self.bits)
+        self.packed, inverse = np.unique(rows, axis=0, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        order = np.argsort(inverse, kind="stable")
+        self.sizes = np.zeros(len(self.packed), np.int64)
+        self.sizes[inverse] = size[text]
+        #: places by window: word in the row, text
+        self.place, self.text = at[order], text[order]
+        self.place_first = np.searchsorted(inverse[order], np.arange(len(self.packed) + 1))
+        pairs = np.unique(np.stack((inverse, self.owner[text]), 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        self.item = pairs[:, 1]
+        self.item_first = np.searchsorted(pairs[:, 0], np.arange(len(self.packed) + 1))
 
 
 def pack_rows(table: np.ndarray, per: int, bits: int) -> np.ndarray:
     """Rows of ids as rows of integers of ``per`` ids, in the same order."""
     blocks = table.reshape(len(table), table.shape[1] // per, per)
     weights = np.array([1 << bits * (per - 1 - i) for i in range(per)], np.int64)
-    return (blocks * weights).sum(axis=2)
+    out = np.zeros(blocks.shape[:2], np.int64)
+    for i, weight in enumerate(weights):
+        out += blocks[:, :, i] * weight
+    return out
 
 
 def known_stretches(words: np.ndarray, least: int) -> np.ndarray:
@@ -132,9 +145,9 @@ class Shard:
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window, the interval of the suffix array that begins with it, by binary search."""
         bench, n = self.bench, len(self.text)
-        lower, upper = (np.zeros(len(bench.keys), np.int64) for _ in range(2))
+        lower, upper = (np.zeros(len(bench.sizes), np.int64) for _ in range(2))
         for out, strict in ((lower, False), (upper, True)):
-            low, high = out, np.full(len(bench.keys), n, np.int64)
+            low, high = out, np.full(len(bench.sizes), n, np.int64)
             while (open_ := low < high).any():
                 middle = (low + high) >> 1
                 sign = self.compare(middle, open_)
@@ -197,20 +210,44 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list
         yield ids, texts
 
 
-def broadcast_benchmark(docs: DataFrame, benchmark: DataFrame, window: int):
-    """The benchmark's items on all executors; an error beyond ``MAX_BENCHMARK_BYTES``."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes, more than the {MAX_BENCHMARK_BYTES} that may be broadcast; search it in parts")
-    bench = Benchmark([(r.item_id, r.text.encode()) for r in items.sort("item_id", "text").collect()], window)
-    return docs.sparkSession.sparkContext.broadcast(bench)
+def prepared(benchmark: DataFrame, window: int, part_bytes: int) -> list[str]:
+    """URIs of the benchmark's parts, built and written by the executors; rows are dealt out by their hash."""
+    folder = shared_folder(benchmark.sparkSession)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // part_bytes)
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = table.select(["item_id", "text"]).sort_by([("item_id", "ascending"), ("text", "ascending")])
+        bench = Benchmark(list(zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist())), window)
+        system, path = filesystem(folder)
+        name = f"{folder}/benchmark-{uuid.uuid4().hex}"  # of this attempt
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{name.rpartition('/')[2]}", compression=None) as out:
+            out.write(pickle.dumps(bench, 5))
+        return pa.table({"uri": [name]})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))))
+    return sorted(r.uri for r in dealt.groupBy("part").applyInArrow(build, "uri string").collect())
+
+
+_loaded: dict[str, Benchmark] = {}
+
+
+def loaded(uri: str) -> Benchmark:
+    """A part; the last one stays in the process."""
+    if uri not in _loaded:
+        _loaded.clear()
+        system, path = filesystem(uri)
+        with system.open_input_file(path) as file:
+            _loaded[uri] = pickle.loads(file.read())
+    return _loaded[uri]
 
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, longest_match long, contaminated boolean"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, longest_match, contaminated.
 
     A word is hit inside any occurrence of a window (``window`` consecutive
@@ -220,15 +257,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     null item_id counts as ''. Rows of one item_id are one item. Repeated rows
     and null doc_ids get a row each. Other columns are not read.
     """
-    shared = broadcast_benchmark(docs, benchmark, window)
+    uris = prepared(benchmark, window, part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        bench = shared.value
         for ids, texts in shards(batches, SHARD_WORDS):
-            words, first, counts = shard_words(texts, bench.ids)
-            hits, owners, longest = search(words, first, len(texts), bench)
-            names = bench.names
-            digests = [hashlib.sha256(",".join(names[i] for i in own).encode()).hexdigest() for own in owners]
+            counts, hits, owners, longest = search(texts, uris)
+            digests = [hashlib.sha256(",".join(own).encode()).hexdigest() for own in owners]
             columns = [pa.array(ids, pa.int64()), pa.array(counts), pa.array(hits), pa.array([len(x) for x in owners], pa.int64()), pa.array(digests), pa.array(longest), pa.array(hits > 0)]
             yield pa.RecordBatch.from_arrays(columns, REPORT.replace(",", "").split()[::2])
 
@@ -246,94 +280,94 @@ def extend(words: np.ndarray, starts: np.ndarray, item: np.ndarray, offset: int,
     return length
 
 
-def search(words: np.ndarray, first: np.ndarray, n_docs: int, bench: Benchmark) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
-    """Per document: words hit, the items found (sorted) and the longest match."""
-    hits, longest = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
-    owners: list[list[int]] = [[]] * n_docs
-    if not bench.keys:
-        return hits, owners, longest
-    shard = Shard(words, bench)
-    if not len(shard.text):
-        return hits, owners, longest
-    which, at = shard.occurrences()
-    if not len(which):
-        return hits, owners, longest
-    size = bench.sizes[which]
-    step = np.zeros(len(words) + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + size, -1)
-    doc = np.searchsorted(first, at, "right") - 1
+def search(texts: list[bytes | None], uris: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
+    """Per document: its words, words hit, names of the items found (sorted) and the longest match, over all parts."""
+    counts = longest = step = first = None
+    owners: list[set[str]] = [set() for _ in texts]
+    for uri in uris or [None]:
+        bench = loaded(uri) if uri else Benchmark([])
+        words, first, counts = shard_words(texts, bench.ids)
+        if step is None:
+            step, longest = np.zeros(len(words) + 1, np.int64), np.zeros(len(texts), np.int64)
+        shard = Shard(words, bench)
+        if not len(shard.text):
+            continue
+        which, at = shard.occurrences()
+        if not len(which):
+            continue
+        np.add.at(step, at, 1)
+        np.add.at(step, at + bench.sizes[which], -1)
+        doc = np.searchsorted(first, at, "right") - 1
+        for d, w in np.unique(np.stack((doc, which), 1), axis=0).tolist():
+            owners[d].update(bench.names[i] for i in bench.item[bench.item_first[w] : bench.item_first[w + 1]])
+        for _, _, starts, length in maximal(words, which, at, bench):
+            np.maximum.at(longest, np.searchsorted(first, starts, "right") - 1, length)
     covered = np.concatenate(([0], np.cumsum(np.cumsum(step[:-1]) > 0)))
-    hits = covered[np.concatenate((first[1:], [len(words)]))] - covered[first]
-    pairs = np.unique(np.stack((doc, which), 1), axis=0)
-    n_items = np.array([len(x) for x in bench.items])[pairs[:, 1]]
-    items = np.concatenate([bench.items[w] for w in pairs[:, 1]])
-    owned = np.unique(np.stack((np.repeat(pairs[:, 0], n_items), items), 1), axis=0)
-    cut = np.flatnonzero(np.diff(owned[:, 0])) + 1
-    for group in np.split(owned, cut):
-        owners[group[0, 0]] = group[:, 1].tolist()
-    for _, _, starts, length in maximal(words, which, at, bench):
-        np.maximum.at(longest, np.searchsorted(first, starts, "right") - 1, length)
-    return hits, owners, longest
+    hits = covered[np.concatenate((first[1:], [len(step) - 1]))] - covered[first]
+    return counts, hits, [sorted(x) for x in owners], longest
 
 
 def maximal(words: np.ndarray, which: np.ndarray, at: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Text of the benchmark, word in it, starts and lengths of the matches that can't be extended to either side."""
     cut = np.flatnonzero(np.diff(which)) + 1  # windows come in order
     for starts, key in zip(np.split(at, cut), which[np.concatenate(([0], cut))] if len(which) else ()):
-        own = bench.keys[key]
         before = np.where(starts > 0, words[np.maximum(starts - 1, 0)], 0)
-        for text, offset in bench.places[own]:
-            new = starts[before != bench.words[text][offset - 1]] if offset else starts
+        for spot in range(bench.place_first[key], bench.place_first[key + 1]):
+            text, place = int(bench.text[spot]), int(bench.place[spot])
+            item, offset = bench.words[bench.first[text] : bench.last[text]], place - int(bench.first[text])
+            new = starts[before != item[offset - 1]] if offset else starts
             if len(new):
-                yield text, offset, new, extend(words, new, bench.words[text], offset, len(own) // 8)
+                yield text, offset, new, extend(words, new, item, offset, int(bench.sizes[key]))
 
 
 MATCHES = "doc_id long, item_id string, item_word long, doc_word long, n_words long"
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Verbatim matches that can't be extended to either side: doc_id, item_id, item_word, doc_word, n_words (positions from 0).
 
     Nulls, empty texts and repeated rows are as in ``decontaminate``.
     """
-    shared = broadcast_benchmark(docs, benchmark, window)
+    uris = prepared(benchmark, window, part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        bench = shared.value
         for ids, texts in shards(batches, SHARD_WORDS):
-            words, first, _ = shard_words(texts, bench.ids)
-            shard = Shard(words, bench)
-            if not bench.keys or not len(shard.text):
-                continue
-            which, at = shard.occurrences()
-            out: list[tuple] = []
-            for text, offset, starts, lengths in maximal(words, which, at, bench):
-                for start, length in zip(starts, lengths):
-                    doc = int(np.searchsorted(first, start, "right") - 1)
-                    out.append((ids[doc], bench.names[bench.owner[text]], offset, int(start - first[doc]), int(length)))
-            if out:
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], MATCHES.replace(",", "").split()[::2])
+            for uri in uris:
+                bench = loaded(uri)
+                words, first, _ = shard_words(texts, bench.ids)
+                shard = Shard(words, bench)
+                if not len(shard.text):
+                    continue
+                which, at = shard.occurrences()
+                out: list[tuple] = []
+                for text, offset, starts, lengths in maximal(words, which, at, bench):
+                    for start, length in zip(starts, lengths):
+                        doc = int(np.searchsorted(first, start, "right") - 1)
+                        out.append((ids[doc], bench.names[bench.owner[text]], offset, int(start - first[doc]), int(length)))
+                if out:
+                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], MATCHES.replace(",", "").split()[::2])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCHES)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows whose text has any window of the benchmark; columns and other rows as they are."""
-    shared = broadcast_benchmark(docs, benchmark, window)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text has any window of the benchmark; columns and other rows as they are.
+
+    Null and empty texts stay, and so do repeated rows and rows with a null
+    doc_id whose text is clean; an empty benchmark removes nothing.
+    """
+    uris = prepared(benchmark, window, part_bytes)
     position = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        bench = shared.value
         for batch in batches:
             texts = batch.column(position).cast(pa.binary()).to_pylist()
             if not texts:
                 continue
             keep: list[bool] = []
             for _, part in shards(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["row", "text"])]), SHARD_WORDS):
-                words, first, _ = shard_words(part, bench.ids)
-                keep += (search(words, first, len(part), bench)[0] == 0).tolist()
+                keep += (search(part, uris)[1] == 0).tolist()
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Hashable
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,45 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is unset (tests on one machine) a temporary folder
-    is made and set; it goes when the process ends.
+    Only where that setting is unset and all tasks run on this machine (tests)
+    a temporary folder is made and set; it goes when the process ends. Any
+    other master without the setting is an error: parts would be scattered.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/folio-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme; one without is on Spark's default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return own.replace("file:/", "file:///", 1) if own.startswith("file:/") and not own.startswith("file://") else own
+
+
+def filesystem(uri: str):
+    """File system and path of a URI with a scheme, for the workers' own files: what pyarrow knows, or any that fsspec has a driver for."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        import fsspec
+
+        system, path = fsspec.core.url_to_fs(uri)
+        return fs.PyFileSystem(fs.FSSpecHandler(system)), path
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one, wherever it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.shared import shared_folder, written
+from folio.llm.shared import filesystem, shared_folder, written
 
 BLOCK_LINES = 3000
 LEAST_BYTES = 100
@@ -48,13 +48,6 @@ class Archive(NamedTuple):
     directory: DataFrame
 
 
-def filesystem(uri: str):
-    """File system and path of a folder's URI; a plain path is local."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri(f"file://{uri}")
-
-
 def url_key(url: str | None) -> str:
     """``com,example,www)/path?query`` of ``http://www.example.com/path?query#x``; '' for null."""
     if not url:

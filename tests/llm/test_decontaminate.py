@@ -1,8 +1,7 @@
 import hashlib
+import pickle
 import random
 
-import pytest
-
 from folio.llm import decontaminate as d
 
 ITEMS = "item_id long, text string"
@@ -65,10 +64,26 @@ def test_removal_and_empty_tables(spark, docs):
     assert d.decontaminate(table.limit(0), bench).count() == 0
 
 
-def test_large_benchmarks_are_refused(spark, docs, monkeypatch):
-    monkeypatch.setattr(d, "MAX_BENCHMARK_BYTES", 4)
-    with pytest.raises(ValueError, match="bytes"):
-        d.decontaminate(docs([(1, "x")]), spark.createDataFrame([(1, "longer text")], ITEMS))
+def test_parts_of_a_benchmark_find_the_same(spark, docs):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(15)]
+    items = [(i % 20, " ".join(rng.choices(vocabulary, k=rng.choice([2, 9, 12, 40])))) for i in range(50)]
+    bench = spark.createDataFrame([*items, *items], ITEMS)
+    rows = [(i, " ".join(rng.choices(vocabulary, k=300))) for i in range(40)] + [(99, items[3][1] + " x " + items[7][1])]
+    size = sum(len(t) for _, t in set(items))
+    assert len(d.prepared(bench, 10, size // 3 + 1)) == 3
+    whole, parts = (sorted(map(tuple, d.decontaminate(docs(rows), bench, part_bytes=n).collect())) for n in (1 << 20, size // 3 + 1))
+    assert whole == parts and [r[1:5] for r in whole] == brute([t for _, t in rows], [(str(i), t) for i, t in items])
+    kept = d.remove_contaminated(docs([*rows, (100, "clean")]), bench, part_bytes=size // 3 + 1)
+    assert [r.doc_id for r in kept.collect()] == [100]
+    matches = [sorted(map(tuple, d.longest_matches(docs(rows), bench, part_bytes=n).collect())) for n in (1 << 20, size // 3 + 1)]
+    assert matches[0] == matches[1]
+
+
+def test_a_benchmark_takes_ten_times_its_text():
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"t{rng.randint(0, 20_000)}" for _ in range(200)).encode()) for i in range(1000)]
+    assert len(pickle.dumps(d.Benchmark(items))) < 20 * sum(len(t) for _, t in items)
 
 
 def test_long_text_is_split_into_shards(spark, docs, monkeypatch):
