@@ -7,9 +7,10 @@ most poor documents while rejecting next to no good ones; the other half, the
 holdout, then tests the hypothesis "this cutoff rejects more than alpha of the
 stratum's good documents" with its exact binomial tail. Holm's correction over
 all proposals of all strata keeps the chance of any wrongly certified cutoff
-within delta. A feature's alpha is its share of the stratum's, so all cutoffs
-of a stratum together reject at most ``ALPHA`` of its good documents. What
-can't be certified isn't used.
+within delta. A stratum's ``ALPHA`` is shared out among the features proposed
+for it - the holdout has no part in that - so all cutoffs of a stratum together
+reject at most ``ALPHA`` of its good documents. What can't be certified isn't
+used.
 
 DataFrame operations only; one pass over the texts. Word windows are compared
 by their 64-bit hashes within one document.
@@ -89,10 +90,10 @@ def with_measures(docs: DataFrame) -> DataFrame:
     return counts.withColumn(OWN, own).drop(f"{OWN}_c", f"{OWN}_r")
 
 
-def binomial_tail(n: Column, k: Column, p: float) -> Column:
+def binomial_tail(n: Column, k: Column, p: Column) -> Column:
     """P(at most k of n) at rate p, exactly: terms summed from their running logarithm."""
-    ratio = F.log(F.lit(p / (1 - p)))
-    start = F.struct((n * F.log(F.lit(1 - p))).alias("term"), F.lit(0.0).alias("sum"))
+    ratio = F.log(p / (1 - p))
+    start = F.struct((n * F.log(1 - p)).alias("term"), F.lit(0.0).alias("sum"))
 
     def add(a: Column, i: Column) -> Column:
         return F.struct((a["term"] + F.log((n - i) / (i + 1.0)) + ratio).alias("term"), (a["sum"] + F.exp(a["term"])).alias("sum"))
@@ -100,8 +101,8 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), k), start, add)["sum"])
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, feature, cutoff), certified on the holdout; ``measured`` has doc_id, stratum and ``OWN``.
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """(stratum, feature, cutoff), certified on the holdout; ``measured``, a table that is written, has doc_id, stratum and ``OWN``.
 
     A document's label is the least quality of its label rows; nulls are no labels.
     """
@@ -117,9 +118,10 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
     useful = counted.where((F.col("tune_bad_out") > 0) & (F.col("tune_good_out") <= TUNE_ALPHA * F.col("tune_good")) & (F.col("tune_bad_out") > 4 * F.col("tune_good_out")))
     best = F.max_by(F.struct("cutoff", "good", "good_out"), F.struct("tune_bad_out", -F.col("tune_good_out"), "cutoff"))
     proposed = useful.groupBy("stratum", "feature").agg(best.alias("b")).select("stratum", "feature", "b.*")
-    tested = proposed.withColumn("p", binomial_tail(F.col("good"), F.col("good_out"), ALPHA / len(GRID)))
-    order = Window.partitionBy(F.lit(0)).orderBy("p", "stratum", "feature")  # a row per stratum and feature
-    holm = tested.withColumn("ok", F.col("p") <= DELTA / (F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) - F.row_number().over(order) + 1))
+    share = ALPHA / F.count(F.lit(1)).over(Window.partitionBy("stratum"))
+    tested = written(proposed.withColumn("p", binomial_tail(F.col("good"), F.col("good_out"), share)), folder, "tested")
+    order = Window.partitionBy(F.lit(0)).orderBy("p", "stratum", "feature")  # of those that may be certified: each has a hundred labels or more
+    holm = tested.where(F.col("p") <= DELTA).withColumn("ok", F.col("p") <= DELTA / (F.lit(tested.count()) - F.row_number().over(order) + 1))
     return holm.withColumn("ok", F.min("ok").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("ok").select("stratum", "feature", "cutoff")
 
 
@@ -150,17 +152,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.col("lang"))
     measured = written(with_measures(plain).drop("text"), folder, "measured")
-    cutoffs = written(certified_cutoffs(measured.withColumn("stratum", stratum()), labels), folder, "cutoffs")
+    cutoffs = written(certified_cutoffs(measured.withColumn("stratum", stratum()), labels, folder), folder, "cutoffs")
     own = F.col(OWN)
     counts = [own[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return decided(measured, cutoffs).select("doc_id", *counts, F.col(f"{OWN}_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, columns as they are; texts are measured once."""
+    """The rows of ``docs`` that ``judge`` keeps, columns as they are; texts are measured once.
+
+    Nulls, empty texts and repeated rows are as in ``judge``; an empty table stays empty.
+    """
     folder = shared_folder(docs.sparkSession)
     measured = written(with_measures(docs), folder, "measured")
-    cutoffs = written(certified_cutoffs(measured.select(F.col("doc_id").cast("long"), stratum().alias("stratum"), OWN), labels), folder, "cutoffs")
+    cutoffs = written(certified_cutoffs(measured.select(F.col("doc_id").cast("long"), stratum().alias("stratum"), OWN), labels, folder), folder, "cutoffs")
     return decided(measured, cutoffs).where(f"{OWN}_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -194,10 +199,11 @@ counted AS (
 proposed AS (
   SELECT * FROM counted WHERE tune_bad_out > 0 AND tune_good_out <= {tune_alpha} * tune_good AND tune_bad_out > 4 * tune_good_out
   QUALIFY row_number() OVER (PARTITION BY stratum, feature ORDER BY tune_bad_out DESC, tune_good_out, cutoff DESC) = 1),
+shared AS (SELECT *, {alpha} / count(*) OVER (PARTITION BY stratum) AS share FROM proposed),
 tested AS (
   SELECT stratum, feature, cutoff, CASE WHEN good_out >= good THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(good_out + 1 AS BIGINT)),
-    lambda i: exp(lgamma(good + 1.0) - lgamma(i + 1.0) - lgamma(good - i + 1.0) + i * ln({alpha}) + (good - i) * ln(1 - {alpha})))) END AS p
-  FROM proposed),
+    lambda i: exp(lgamma(good + 1.0) - lgamma(i + 1.0) - lgamma(good - i + 1.0) + i * ln(share) + (good - i) * ln(1 - share)))) END AS p
+  FROM shared),
 holm AS (SELECT *, p <= {delta} / (count(*) OVER () - row_number() OVER (ORDER BY p, stratum, feature) + 1) AS ok FROM tested),
 cut AS (SELECT stratum, feature, cutoff FROM (SELECT *, bool_and(ok) OVER (ORDER BY p, stratum, feature ROWS UNBOUNDED PRECEDING) AS fine FROM holm) WHERE fine),
 out AS (SELECT f.row_nr, bool_or(value >= cutoff) AS rejected FROM f JOIN cut USING (stratum, feature) GROUP BY f.row_nr)
@@ -206,5 +212,5 @@ FROM m LEFT JOIN out USING (row_nr)
 """
 JUDGE_SQL = (
     JUDGE_SQL.replace("{grid}", ", ".join(f"('{f}', [{', '.join(f'CAST({x} AS DOUBLE)' for x in grid)}])" for f, grid in GRID.items()))
-    .replace("{tune_alpha}", repr(TUNE_ALPHA)).replace("{alpha}", repr(ALPHA / len(GRID))).replace("{delta}", repr(DELTA))
+    .replace("{tune_alpha}", repr(TUNE_ALPHA)).replace("{alpha}", repr(ALPHA)).replace("{delta}", repr(DELTA))
 )
