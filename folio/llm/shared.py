@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +16,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
     Only where that setting is unset and all tasks run on this machine (tests)
-    a temporary folder is made and set; it goes when the process ends. Any
-    other master without the setting is an error: parts would be scattered.
+    a temporary folder is made; it goes when the process ends. Any other master
+    without the setting is an error: parts would be scattered.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local.get(context.applicationId)
     if not base:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{qualified(spark, base).rstrip('/')}/folio-{uuid.uuid4().hex}"
+        _local[context.applicationId] = base
+    folder = f"{qualified(spark, base).rstrip('/')}/folio-{uuid.uuid4().hex}"
+    for made in _working:
+        made.append(folder)
+    return folder
+
+
+_working: list[list[str]] = []
+
+
+@contextmanager
+def working_folders(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shared folders made inside once what needs them is written."""
+    _working.append(made := [])
+    try:
+        yield
+    finally:
+        _working.remove(made)
+        for folder in made:
+            removed(spark, folder)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
