@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -113,11 +114,11 @@ def test_empty_tables(spark, folder, tmp_path):
     assert p.run(spark, str(empty)).count() == 0
 
 
-def test_working_folders_go(spark, folder, tmp_path, monkeypatch):
-    monkeypatch.setitem(shared._local, spark.sparkContext.applicationId, f"file://{tmp_path}/shared")
-    rows = p.run(spark, folder[0]).count()
-    left = {x.name for x in (tmp_path / "shared").glob("*/*")}
-    assert rows and left == {"decontamination", "pieces", "counts"}
+def test_working_folders_go(spark, folder):
+    base = Path(shared.shared_folder(spark).removeprefix("file://")).parent
+    before = set(base.glob("folio-*"))
+    assert p.run(spark, folder[0]).count()
+    assert {x.name for new in set(base.glob("folio-*")) - before for x in new.iterdir()} == {"decontamination", "pieces", "counts"}
 
 
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
