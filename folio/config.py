@@ -45,6 +45,7 @@ class Config:
     pdf_password: str | None = None
     pdf_dpi: int = 200
     pdf_max_pages: int = 15
+    pdf_decrypt_dir: str | None = None
 
 
 def read_json(path: str | None) -> dict[str, Any]:
@@ -104,7 +105,7 @@ def load(path: str | None = None, *, spark: SparkSession | None = None, backend:
     tails, names = settings.get("ad_truncation_patterns"), at(settings, "pii", "patterns")
     given = {
         "max_retries": at(settings, "ai", "max_retries"), "mask": at(settings, "pii", "enabled"), "urls": settings.get("strip_urls"), "frontmatter": at(settings, "output", "frontmatter"),
-        "language": at(settings, "output", "epub_language"), "pdf_dpi": at(settings, "pdf", "dpi"), "pdf_max_pages": at(settings, "pdf", "max_pages")}
+        "language": at(settings, "output", "epub_language"), "pdf_dpi": at(settings, "pdf", "dpi"), "pdf_max_pages": at(settings, "pdf", "max_pages"), "pdf_decrypt_dir": at(settings, "pdf", "decrypt_dir")}
     base = Config(backend=own, model=at(settings, "ai", own) or {}, prompt=find_prompt(settings, os.path.dirname(path) if path else None), tails=tuple(tails) if tails else None, paragraphs=tuple(settings.get("ad_strip_patterns") or ()), mask_names=None if names is None else tuple(names), pdf_password=password or at(settings, "pdf", "password") or known.get("PDF_PASSWORD"))
     return replace(base, **{k: v for k, v in given.items() if v is not None})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from folio.session import ship
 from folio.sinks.epub import epub
 from folio.sinks.writer import write_rows
 from folio.sources.documents import with_text
-from folio.sources.files import collect, read_files
+from folio.sources.files import MAX_FILES, collect, read_files
+from folio.sources.pdf_route import PdfTools, with_pdf_text
 
 PUBLISHED = "2024-01-01 08:00+08:00"
 FORMATS = ("md", "epub", "both")
@@ -30,13 +32,14 @@ def taken_names(spark: SparkSession, folders: Sequence[str], ext: str) -> DataFr
     return spark.createDataFrame(rows, "folder string, name string")
 
 
-def convert(spark: SparkSession, paths: Sequence[str], *, output: str | Callable[[str], str], config: Config | None = None, output_format: str = "md", client: Callable[[], Client] | None = None, published: str = PUBLISHED, dry_run: bool = False) -> DataFrame:
+def convert(spark: SparkSession, paths: Sequence[str], *, output: str | Callable[[str], str], config: Config | None = None, output_format: str = "md", client: Callable[[], Client] | None = None, published: str = PUBLISHED, dry_run: bool = False, pdf: PdfTools | None = None) -> DataFrame:
     """Results: file, input, output, preview, status, error - in the order of ``paths`` by ``pos``.
 
     ``output`` is a folder or a function from a path to one. No file's failure
     ends the run. Texts are masked before a model sees them, its answer is
     masked, and so is the Markdown written. Transcripts are written as they
-    are: neither a model nor masking touches them.
+    are: neither a model nor masking touches them. ``pdf`` has the readers of
+    PDF files; a scan's images go to the model with its text.
     """
     if output_format not in FORMATS:
         raise ValueError(f"unknown output format: {output_format}")
@@ -51,16 +54,21 @@ def convert(spark: SparkSession, paths: Sequence[str], *, output: str | Callable
     named = named.withColumn("target", F.concat("folder", F.lit("/"), "name"))
     if dry_run:
         return named.select("pos", F.col("filename").alias("file"), F.col("plain").alias("input"), F.concat("target", F.lit(primary)).alias("output"), F.lit(None).cast("string").alias("preview"), F.lit("dry_run").alias("status"), F.lit(None).cast("string").alias("error"))
-    read = with_text(named.drop("path"), password=own.pdf_password)
     is_pdf, is_transcript = F.col("ext") == ".pdf", F.col("ext") == ".jsonl"
+    read = with_text(named.where(~is_pdf).drop("path"))
+    if any(p.lower().endswith(".pdf") for p in paths):
+        of_pdf = with_pdf_text(named.where(is_pdf).drop("path"), pdf, password=own.pdf_password, decrypt_dir=own.pdf_decrypt_dir, dpi=own.pdf_dpi, pages=own.pdf_max_pages)
+        read = read.unionByName(of_pdf.drop("pdf_type"), allowMissingColumns=True)
+    else:
+        read = read.withColumn("images", F.lit(None).cast("array<binary>"))
     cleaned = noise.clean_text(F.col("text"), tails=own.tails, paragraphs=own.paragraphs, urls=own.urls)
     body = F.when(is_pdf, cleaned).otherwise(F.col("text"))
     if own.mask:
         body = F.when(is_transcript, body).otherwise(pii.redact(body, own.mask_names))
     read = read.withColumn("text", body)
-    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    empty = (F.coalesce(F.length("text"), F.lit(0)) == 0) & (F.coalesce(F.size("images"), F.lit(0)) <= 0)
     if factory is not None:
-        asked = with_answers(read.where(~is_transcript & ~empty), factory, own.prompt, retries=own.max_retries)
+        asked = with_answers(read.where(~is_transcript & ~empty), factory, own.prompt, images="images", retries=own.max_retries)
         done = settled(asked, names=own.mask_names, mask=own.mask)
         plain = read.where(is_transcript | empty)
         read = done.unionByName(plain, allowMissingColumns=True).drop("raw_answer")
@@ -99,10 +107,33 @@ def convert(spark: SparkSession, paths: Sequence[str], *, output: str | Callable
     return written.select("pos", F.col("filename").alias("file"), F.col("plain").alias("input"), target.alias("output"), preview.alias("preview"), "status", actionable(F.col("messages"), F.col("status")).alias("error"))
 
 
-def convert_folder(spark: SparkSession, path: str, *, recursive: bool = False, **options) -> tuple[DataFrame, int]:
-    """Results of all supported files at ``path`` (kept, so they are made once) and the exit code."""
-    found, _ = collect(path, recursive=recursive)
+class Run(NamedTuple):
+    """Results, the exit code, and whether the folder had more files than the limit."""
+
+    results: DataFrame
+    exit_code: int
+    overflow: bool
+
+    @property
+    def summary(self) -> DataFrame:
+        """The run's summary: one row with the counts and the exit code."""
+        return run_summary(self.results, __version__)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` made once: a checkpoint in the shared folder where one is named, else in the cache (one machine)."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.cache()
+    context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def convert_folder(spark: SparkSession, path: str, *, recursive: bool = False, limit: int | None = MAX_FILES, **options) -> Run:
+    """Results of the supported files at ``path``, made once. A tree is read up to ``limit`` files (None: all), told by ``overflow``."""
+    found, overflow = collect(path, recursive=recursive, limit=limit)
     if not found:
-        return spark.createDataFrame([], "pos int, file string, input string, output string, preview string, status string, error string"), 2
-    results = convert(spark, found, **options).cache()
-    return results, run_summary(results, __version__).first()["exit_code"]
+        return Run(spark.createDataFrame([], "pos int, file string, input string, output string, preview string, status string, error string"), 2, overflow)
+    results = kept(convert(spark, found, **options))
+    return Run(results, run_summary(results, __version__).first()["exit_code"], overflow)

@@ -30,8 +30,8 @@ def walk(folder: str) -> Iterator[str]:
         yield from (os.path.join(place, n) for n in sorted(names))
 
 
-def collect(path: str, *, recursive: bool = False, limit: int = MAX_FILES) -> tuple[list[str], bool]:
-    """Real paths of supported files at ``path`` and whether a tree had more than ``limit``.
+def collect(path: str, *, recursive: bool = False, limit: int | None = MAX_FILES) -> tuple[list[str], bool]:
+    """Real paths of supported files at ``path`` and whether a tree had more than ``limit`` (None: no limit).
 
     A single file counts by its resolved name, files of a folder by the name
     listed; links that lead out of the folder are left out. Nothing there: an
@@ -50,7 +50,7 @@ def collect(path: str, *, recursive: bool = False, limit: int = MAX_FILES) -> tu
         if not inside(real, root):
             log.warning("a link leads out of the folder: %s", name)
         elif os.path.isfile(real) and supported(name):
-            if recursive and len(found) == limit:
+            if recursive and limit is not None and len(found) == limit:
                 log.warning("more than %d files; the rest isn't collected", limit)
                 return found, True
             found.append(real)

@@ -96,13 +96,14 @@ def test_runs(spark, tmp_path):
     (source / "bad.docx").write_bytes(b"broken")
     (source / "t.jsonl").write_text(json.dumps({"type": "user", "sessionId": "s", "message": {"content": "id 12345678"}}))
     settings = config.Config(backend="none", mask=True, frontmatter=False)
-    results, code = convert_folder(spark, str(source), output=str(out), config=settings, output_format="both")
+    results, code, more = convert_folder(spark, str(source), output=str(out), config=settings, output_format="both")
+    assert not more
     rows = {r.file: r for r in results.sort("pos").collect()}
     assert code == 1 and rows["bad.docx"].status == "skipped" and rows["bad.docx"].error
     assert (out / "a_1.md").read_text() == "# a.md\n\nsecond\n" and (out / "a_2.md").read_text() == "# a.txt\n\ntext 1234****\n"
     assert "12345678" in (out / "t.md").read_text() and (out / "a_2.epub").exists()
     assert rows["a.txt"].preview == rows["a.txt"].output == str(out / "a_2.md")
-    assert convert_folder(spark, str(tmp_path / "none"), output=str(out))[1] == 2
+    assert convert_folder(spark, str(tmp_path / "none"), output=str(out)).exit_code == 2
     dry = convert(spark, [str(source / "a.txt")], output=str(out), config=settings, dry_run=True).first()
     assert dry.status == "dry_run" and dry.output.endswith("a_3.md")
 
