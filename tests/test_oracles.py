@@ -1,7 +1,7 @@
 import pytest
 from oracle import check
 
-from folio.plans.catalogue import ORACLE_SQL, QUERIES
+from folio.plans.formats import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
