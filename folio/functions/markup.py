@@ -110,6 +110,19 @@ BULLET, NUMBER = re.compile(r"\s*[-*+]\s+"), re.compile(r"\s*\d+\.\s+")
 DELIMITER = re.compile(r"\s*\|(?:\s*:?-+:?\s*\|)+\s*\Z")
 
 
+LINK = re.compile(r"\[(?P<label>[^]]*)\][(](?P<url>[^)]+)[)]")
+
+
+def between(mark: str, alone: bool = False) -> re.Pattern:
+    """Text between two marks without the mark's sign; ``alone``: not within a word."""
+    before, after = ("(?<!\\w)", "(?!\\w)") if alone else ("", "")
+    sign = re.escape(mark)
+    return re.compile(f"{before}{sign}(?P<inner>[^{mark[0]}]+){sign}{after}")
+
+
+EMPHASIS = ((between("**"), "strong"), (between("__"), "strong"), (between("*"), "em"), (between("_", True), "em"))
+
+
 def escape(text: str) -> str:
     return html.escape(text, quote=True)
 
@@ -131,9 +144,9 @@ def preview_inline(text: str) -> str:
         spans.append(f"<code>{escape(m[1])}</code>")
         return f"\0{len(spans) - 1}\0"
 
-    out = re.sub(r"\[([^\]]*)\]\(([^)]+)\)", link, escape(re.sub(r"`([^`]+)`", aside, text)))
-    for pattern, tag in ((r"\*\*([^*]+)\*\*", "strong"), (r"__([^_]+)__", "strong"), (r"\*([^*]+)\*", "em"), (r"(?<!\w)_([^_]+)_(?!\w)", "em")):
-        out = re.sub(pattern, rf"<{tag}>\1</{tag}>", out)
+    out = LINK.sub(link, escape(re.sub(r"`([^`]+)`", aside, text)))
+    for pattern, tag in EMPHASIS:
+        out = pattern.sub(lambda m, tag=tag: f"<{tag}>{m['inner']}</{tag}>", out)
     return re.sub(r"\0(\d+)\0", lambda m: spans[int(m[1])], out)
 
 
@@ -149,14 +162,19 @@ def split_row(line: str) -> list[str]:
     return cells[cells[0] == "" : len(cells) - (len(cells) > 1 and cells[-1] == "")]
 
 
+def unquoted(value: str) -> str:
+    """A YAML value without the quotes around it and with its escapes undone."""
+    return value.removeprefix('"').removesuffix('"').replace('\\"', '"').replace("\\\\", "\\")
+
+
 def split_frontmatter(text: str) -> tuple[str | None, str]:
     """Title (if any) and body; a block that never ends is body."""
     lines = text.split("\n")
     if lines[0].strip() == "---":
         for end, line in enumerate(lines[1:], 1):
             if line.strip() == "---":
-                found = (re.match(r'\s*title:\s*"?(.*?)"?\s*$', x) for x in lines[1:end])
-                title = next((m[1].replace('\\"', '"').replace("\\\\", "\\") for m in found if m), None)
+                named = [value.strip() for key, colon, value in (x.partition(":") for x in lines[1:end]) if colon and key.strip() == "title"]
+                title = unquoted(named[0]) if named else None
                 return title, "\n".join(lines[end + 1 :])
     return None, text
 
