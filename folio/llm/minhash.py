@@ -34,12 +34,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import Memo, bit_map, shared_folder, written
+from folio.llm.shared import Memo, bit_map, shared_folder, small_batches, written
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Shingles of a block of a bucket's members; a task holds two blocks.
 BLOCK_SHINGLES = 4 << 20
+#: Pairs of a block that a task looks at in one step, and those of them whose signatures lie beside each other.
+STEP_PAIRS, STEP_SIGNED = 1 << 21, 1 << 15
+MEMO_WORDS = 50_000  # twice as many hashes stay, about 10 MB a generation
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +67,7 @@ _hashes: dict[int, Memo] = {}
 def word_hash() -> Memo:
     import xxhash
 
-    return _hashes.setdefault(0, Memo(xxhash.xxh3_64_intdigest))
+    return _hashes.setdefault(0, Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -218,14 +221,15 @@ def links_of_bucket(percent: int):
             return c
 
         out: list[tuple[int, int]] = []
-        for start in range(0, len(left), 128):
-            some = left[start : start + 128]
+        rows = max(1, min(128, STEP_PAIRS // len(right)))
+        for start in range(0, len(left), rows):
+            some = left[start : start + rows]
             x, y = n[some][:, None], n[right][None, :]
             may = (comps[some][:, None] != comps[right][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
             may &= (some[:, None] < right[None, :]) if right is left else True
             i, j = np.nonzero(may)
-            for part in range(0, len(i), 1 << 18):
-                u, v = some[i[part : part + (1 << 18)]], right[j[part : part + (1 << 18)]]
+            for part in range(0, len(i), STEP_SIGNED):
+                u, v = some[i[part : part + STEP_SIGNED]], right[j[part : part + STEP_SIGNED]]
                 equal = matrix[u] == matrix[v]
                 least = np.minimum(occupied[u], occupied[v])
                 fine = equal.sum(axis=1) >= BINS * (p - 6 * np.sqrt(p * (1 - p) / least) - 1 / least)
@@ -260,8 +264,9 @@ def clusters(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> D
     """
     folder = shared_folder(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(plain.mapInArrow(sign(shingle_words), SIGNED), folder, "signed")
-    return labelled(signed, plain, folder, shingle_words, percent)
+    with small_batches(docs.sparkSession):
+        signed = written(plain.mapInArrow(sign(shingle_words), SIGNED), folder, "signed")
+        return labelled(signed, plain, folder, shingle_words, percent)
 
 
 def labelled(signed: DataFrame, plain: DataFrame, folder: str, size: int, percent: int) -> DataFrame:

@@ -87,6 +87,22 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+#: Of an Arrow batch on its way to a Python worker: buffers of both processes grow to twice a batch or more.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Statements run inside hand their rows to Python in batches of about ``BATCH_BYTES``, whatever the length of texts; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Memo(dict):
     """A bounded memo of a function: two generations, the older one is dropped when the newer is full."""
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,38 @@ def test_only_a_shared_earlier_bucket_leaves_a_pair_out():
     assert m.links_of_bucket(80)(bucket([own, own], 2, shared)).num_rows == 0
 
 
+def test_the_pairs_of_a_wide_bucket_take_bounded_memory():
+    rng = np.random.default_rng(8)
+    table = bucket([np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64)) for _ in range(2000)])
+    tracemalloc.start()
+    try:
+        assert m.links_of_bucket(80)(table).num_rows == 0
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_texts_come_to_python_in_small_batches(spark, monkeypatch):
+    sign, key = m.sign, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def checked(size):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    assert batch.nbytes < 8 << 20
+                    yield batch
+
+            return sign(size)(each())
+
+        return run
+
+    monkeypatch.setattr(m, "sign", checked)
+    before = spark.conf.get(key)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 2000) AS text")
+    assert m.clusters(docs, shingle_words=2).where("kept AND n_shingles = 1").count() == 3000
+    assert spark.conf.get(key) == before
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     for n in (3, 40, 2000):
