@@ -88,7 +88,7 @@ def xlsx_of(key: int, rows: list) -> bytes:
 
 
 def sheet_sql(heading: str) -> str:
-    """Three padded columns, the last of numbers; within the budget of a sheet."""
+    """Three padded columns, the last of numbers; all rows."""
     return rf"""
 WITH {KEPT},
 c AS (SELECT k, s_suppkey, name AS a, replace(code, '|', '\|') AS b, CASE WHEN balance = round(balance) THEN CAST(CAST(balance AS BIGINT) AS VARCHAR) ELSE format('{{:g}}', balance) END AS c FROM r),
