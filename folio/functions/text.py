@@ -90,13 +90,14 @@ def raw_markdown(text: Column, filename: Column, *, source: Column | None = None
     return F.concat(F.concat_ws("\n", *parts), F.lit("\n"))
 
 
-def refined_markdown(title: Column, summary: Column, body: Column, tags: Column, filename: Column, *, source: Column | None = None, published: str | None = None) -> Column:
-    """A model's title, summary and body; empty parts are left out, a missing title is the file name."""
+def refined_markdown(title: Column, summary: Column, body: Column, tags: Column, filename: Column, *, source: Column | None = None, published: str | None = None, keep_empty: bool = False) -> Column:
+    """A model's title, summary and body; missing parts are left out, empty ones too unless ``keep_empty``; a missing title is the file name."""
     name = F.coalesce(F.when(title != "", title), filename)
+    given = lambda c: c.isNotNull() if keep_empty else c != ""
     parts: list[Column] = []
     if published is not None:
         parts.append(frontmatter(name, F.coalesce(summary, F.lit("")), tags, source if source is not None else F.lit(""), published))
-    parts += [F.concat(F.lit("# "), name, F.lit("\n")), F.when(summary != "", F.concat(F.lit("> "), summary, F.lit("\n"))), F.when(body != "", body)]
+    parts += [F.concat(F.lit("# "), name, F.lit("\n")), F.when(given(summary), F.concat(F.lit("> "), summary, F.lit("\n"))), F.when(given(body), body)]
     return F.concat(F.concat_ws("\n", *parts), F.lit("\n"))
 
 
