@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.text import escape_cell, normalize_cell
+from folio.functions.text import escape_cell, let, normalize_cell
 
 
 def padded(row: Column, width: Column) -> Column:
@@ -35,16 +35,18 @@ def compact_table(rows: Column, header: Column | None = None) -> Column:
     given = F.coalesce(F.size(header), F.lit(0)) > 0 if header is not None else F.lit(False)
     top = F.when(given, header).otherwise(F.get(rows, F.lit(0))) if header is not None else F.get(rows, F.lit(0))
     data = F.when(given, F.coalesce(rows, F.array())).otherwise(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))))
-    width = F.greatest(F.size(top), widest(data))
 
-    def line(row: Column) -> Column:
-        shown = F.transform(padded(cells(row), width), lambda c: F.when(c == "", " ").otherwise(c))
-        return F.concat(F.lit("|"), F.array_join(shown, "|"), F.lit("|"))
+    def made(top: Column, data: Column, width: Column) -> Column:
+        def line(row: Column) -> Column:
+            shown = let(cells(row), lambda own: F.transform(padded(own, width), lambda c: F.when(c == "", " ").otherwise(c)))
+            return F.concat(F.lit("|"), F.array_join(shown, "|"), F.lit("|"))
 
-    blank = F.forall(top, lambda c: normalize_cell(c) == "") & (F.size(data) == 0)
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width.cast("int")), "|"), F.lit("|"))
-    body = F.array_join(F.concat(F.array(line(top), rule), F.transform(data, line)), "\n")
-    return F.when(top.isNull() | (width < 1) | blank, "").otherwise(body)
+        blank = (F.size(data) == 0) & F.forall(top, lambda c: normalize_cell(c) == "")
+        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width.cast("int")), "|"), F.lit("|"))
+        body = F.array_join(F.concat(F.array(line(top), rule), F.transform(data, line)), "\n")
+        return F.when(top.isNull() | (width < 1) | blank, "").otherwise(body)
+
+    return let(F.struct(top.alias("top"), data.alias("data")), lambda t: let(F.greatest(F.size(t["top"]), widest(t["data"])), lambda width: made(t["top"], t["data"], width)))
 
 
 def document_table(rows: Column) -> Column:

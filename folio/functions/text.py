@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once; a lambda evaluates any other expression again at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(text: Column) -> Column:
     """Both ends without Unicode white space."""
     return F.regexp_replace(text, rf"{WS}+\z|(?U)\A\s+", "")

@@ -51,9 +51,9 @@ def rendered(found: DataFrame, key: str = "pos") -> DataFrame:
     pages = stitch_fragments(repaired.select(key, "page", *FIELDS), key, "page")
     merged = merge_pages(pages, key, "page")
     text: Column = F.when(F.col("kind") == "table", compact_table(F.col("rows"), F.col("header"))).otherwise(trim_ws(F.col("text")))
-    parts = merged.select(key, "seq", text.alias("t")).where("t <> ''")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "t")))
-    return parts.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n\n").alias("text"))
+    parts = merged.select(key, "seq", text.alias("t"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("seq", "t"))))  # a filter would make the texts twice
+    return parts.groupBy(key).agg(ordered.alias("p")).where(F.size("p") > 0).select(key, F.array_join(F.transform("p", lambda p: p["t"]), "\n\n").alias("text"))
 
 
 def routed(plain: DataFrame, tables: DataFrame, layout: DataFrame | None = None, *, key: str = "pos") -> DataFrame:
